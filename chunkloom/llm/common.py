@@ -91,3 +91,13 @@ def binaries(flat: np.ndarray, first: np.ndarray) -> pa.Array:
 def lists(flat: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column: row i holds flat[first[i]:first[i+1]]."""
     return pa.ListArray.from_arrays(pa.array(np.asarray(first), type=pa.int32()), pa.array(flat, type=kind))
+
+
+def first_by_hash(df: DataFrame, group: str, key: str, n: int, pieces: int = 64) -> DataFrame:
+    """Of every group the n rows with the smallest hashes of key. Ranked in pieces first, so no task gets a whole group."""
+    from pyspark.sql import Window
+
+    h = F.xxhash64(key)
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(h, key))
+    some = df.withColumn("_piece", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(pieces))).withColumn("_rank", rank(group, "_piece")).where(f"_rank <= {n}")
+    return some.withColumn("_rank", rank(group)).where(f"_rank <= {n}").drop("_piece", "_rank")

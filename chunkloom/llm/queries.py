@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import langid, packing, quality, secrets, tokencount, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_file(name: str) -> str:
+    """Place of a public tokenizer's file; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,9 +44,25 @@ def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
+@query
+def op7_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
+
+
 @query
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(fold("doc_id", 4) != 2))
     out = langid.identify(docs, model)
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))

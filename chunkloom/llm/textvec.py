@@ -128,6 +128,14 @@ def words(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray = NONSPACE
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of any spans of bytes, equal for equal bytes."""
+    p, q = _power(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[raw] * p[: len(raw)], out=total[1:])
+    return mix((total[ends] - total[starts]) * q[starts])
+
+
 def row_of(first: np.ndarray) -> np.ndarray:
     """The row of each word, from each row's first word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
