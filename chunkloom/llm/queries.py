@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, secrets, tokencount, toxicity
+from . import langid, neardup, packing, quality, secrets, tokencount, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,31 @@ def op8_language_id(spark, sf_dir):
 @query
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
+@query
+def op10_minhash_neardup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_minhash_neardup"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t
+    FROM documents),
+s AS (
+    SELECT doc_id, CASE WHEN len(t) = 0 THEN []::VARCHAR[] WHEN len(t) = 1 THEN [t[1]]
+                        ELSE list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) END AS t
+    FROM w),
+n AS (SELECT doc_id, len(t) AS n FROM s),
+classes AS (SELECT min(doc_id) AS rep, any_value(t) AS t, len(any_value(t)) AS n FROM (SELECT doc_id, list_sort(t) AS t FROM s) GROUP BY hash(t), t HAVING len(any_value(t)) > 0),
+member AS (SELECT s.doc_id, c.rep FROM (SELECT doc_id, list_sort(t) AS t FROM s) s JOIN classes c ON s.t = c.t),
+x AS (SELECT rep, n, unnest(t) AS g FROM classes),
+common AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+           FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * k >= 80 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS id, rep AS r FROM classes UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a),
+comp AS (SELECT id, min(r) AS c FROM reach GROUP BY 1)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(comp.c, n.doc_id) AS component_id, coalesce(comp.c, n.doc_id) = n.doc_id AS kept
+FROM n LEFT JOIN member USING (doc_id) LEFT JOIN comp ON comp.id = member.rep
+"""
