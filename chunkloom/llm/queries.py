@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, quality, secrets, tokencount, toxicity
+from . import langid, lm, neardup, packing, quality, secrets, tokencount, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,13 @@ def op2_toxicity(spark, sf_dir):
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_features", "n_hits")
 
 
+@query
+def op3_lm_score(spark, sf_dir):
+    held_out = fold("doc_id", 7) == 2
+    out = lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return out.withColumn("held_out", ~F.col("learn")).drop("learn")
+
+
 @query
 def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
