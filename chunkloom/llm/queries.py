@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, neardup, packing, quality, secrets, tokencount, toxicity
+from . import decontam, langid, lm, neardup, packing, quality, secrets, sharding, tokencount, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,27 @@ def op5_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
 
+#: Bytes of text in a shard, at most.
+SHARD_BYTES = 64 << 20
+
+
+@query
+def op6_extendible_sharding(spark, sf_dir):
+    return sharding.shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
+ORACLES["op6_extendible_sharding"] = f"""
+WITH h AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents),
+sums AS (SELECT d AS depth, h >> (32 - d) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes
+         FROM h, range(0, 33) r(d) GROUP BY 1, 2),
+leaf AS (SELECT h.doc_id, h.n_bytes, h.h, min(s.depth) AS depth
+         FROM h, range(0, 33) r(d) JOIN sums s ON s.depth = d AND s.prefix = h.h >> (32 - d)
+         WHERE s.shard_bytes <= {SHARD_BYTES} GROUP BY 1, 2, 3)
+SELECT l.doc_id, l.n_bytes, l.depth::INTEGER AS depth, (l.h >> (32 - l.depth))::BIGINT AS prefix, 0::BIGINT AS part, s.shard_bytes
+FROM leaf l JOIN sums s ON s.depth = l.depth AND s.prefix = l.h >> (32 - l.depth)
+"""
+
+
 @query
 def op7_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
