@@ -8,6 +8,8 @@ differ: it is missed with probability 2 * (1 - s**WIDTH)**HALVES, which is about
 Documents with equal sets are one class from the start. Classes that share a table key are compared with the key's smallest
 member (a star, never all pairs); what that links is joined to components; only where a key still holds more than one
 component are members of different ones compared, so that no candidate pair is left out that could change the result.
+Before texts are fetched, the 2 * HALVES * WIDTH minhashes, a byte of each, are compared: pairs that agree in fewer than
+AGREE of them are no candidates (at s = 0.8 a pair is lost so with probability 3e-6).
 Texts of candidates meet in groups of bounded size: those of a class with many partners are split over salts.
 
 Defined cases: null texts, and texts without words, have an empty set and are linked with nothing; a text of one word has
@@ -25,13 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import dropped, lists, map_rows, narrow, written
+from .common import binaries, dropped, lists, map_rows, narrow, written
 
 HALVES, WIDTH = 12, 2
 #: Rows of ids up to which a side is sent to all executors or to the driver; above, the same is done by shuffles.
 FEW_ROWS = 400_000
 #: Members that are compared with a copy of a class in one group.
 GROUP = 500
+#: Of 48 minhashes, those in which the pair must agree. At another threshold than 80 percent: the same deviations below the mean.
+AGREE = 25
+
+
+def least_agreement(threshold: int) -> int:
+    n, p = 2 * HALVES * WIDTH, threshold / 100
+    return max(0, min(AGREE if threshold == 80 else n, int(n * p - 4.85 * (n * p * (1 - p)) ** 0.5)))
 
 _rng = np.random.default_rng(8128)
 _A = _rng.integers(1, 1 << 63, 2 * HALVES * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,41 +65,59 @@ def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sh, np.searchsorted(rows, np.arange(len(off)))
 
 
-def sketch(sh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each whole set, and the half keys of each non-empty set (rows of 2 * HALVES)."""
+def sketch(sh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each whole set; of each non-empty set its half keys (rows of 2 * HALVES) and a byte of each minhash."""
     has = np.diff(first) > 0
     at = first[:-1][has]
     s1, s2 = np.zeros(len(has), np.uint64), np.zeros(len(has), np.uint64)
     keys = np.zeros((int(has.sum()), 2 * HALVES), np.uint64)
+    small = np.zeros((int(has.sum()), 2 * HALVES * WIDTH), np.uint8)
     if len(at):
         s1[has] = np.add.reduceat(tv.mix(sh + np.uint64(1)), at)
         s2[has] = np.add.reduceat(tv.mix(sh ^ np.uint64(0xA5A5A5A55A5A5A5A)), at)
         for k in range(2 * HALVES):
             h = np.full(len(at), k, dtype=np.uint64)
             for t in range(k * WIDTH, (k + 1) * WIDTH):
-                h = tv.mix(h + np.minimum.reduceat((sh ^ _X[t]) * _A[t], at))
+                low = np.minimum.reduceat((sh ^ _X[t]) * _A[t], at)
+                small[:, t] = tv.mix(low) & np.uint64(255)
+                h = tv.mix(h + low)
             keys[:, k] = h
-    return s1, s2, keys
+    return s1, s2, keys, small
 
 
 def _sketches(docs: DataFrame, kind: str) -> DataFrame:
     def make():
         def f(b: pa.RecordBatch):
-            n, s1, s2, keys, where = [], [], [], [], []
+            n, s1, s2, keys, small = [], [], [], [], []
             for _, _, raw, off in tv.chunks(b.column(1)):
                 sh, first = shingles(raw, off)
-                x, y, k = sketch(sh, first)
+                x, y, k, bits = sketch(sh, first)
+                small.append(bits.ravel())
                 n.append(np.diff(first))
                 s1.append(x.view(np.int64))
                 s2.append(y.view(np.int64))
                 keys.append(k.view(np.int64).ravel())
             n = np.concatenate(n)
             where = np.concatenate([[0], np.cumsum((n > 0) * (2 * HALVES))])
-            return {"id": b.column(0), "n": n.astype(np.int64), "s1": np.concatenate(s1), "s2": np.concatenate(s2), "halves": lists(np.concatenate(keys), where, pa.int64())}
+            return {"id": b.column(0), "n": n.astype(np.int64), "s1": np.concatenate(s1), "s2": np.concatenate(s2), "halves": lists(np.concatenate(keys), where, pa.int64()), "bytes": binaries(np.concatenate(small), where * WIDTH)}
 
         return f
 
-    return map_rows(docs, make, f"id {kind}, n long, s1 long, s2 long, halves array<bigint>")
+    return map_rows(docs, make, f"id {kind}, n long, s1 long, s2 long, halves array<bigint>, bytes binary")
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose minhashes agree often enough."""
+    least = least_agreement(threshold)
+    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("bytes").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("bytes").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (tv.text_buffer(b.column(k))[0].reshape(b.num_rows, -1) for k in (2, 3))
+                yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return both.mapInArrow(run, pairs.schema)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, kind: str, threshold: int) -> DataFrame:
@@ -174,13 +201,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = narrow(docs, id=id_col, text=text_col)
     rows = written(_sketches(texts, kind), "sketches")
     usable = rows.where("n > 0 and id is not null")
-    classes = written(usable.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "halves")).alias("m")).select("n", "s1", "s2", "m.*"), "classes")
+    classes = written(usable.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "halves", "bytes")).alias("m")).select("n", "s1", "s2", "m.*"), "classes")
     pairs_of_halves = F.flatten(F.transform(F.slice("halves", 1, HALVES), lambda x: F.transform(F.slice("halves", HALVES + 1, HALVES), lambda y: F.xxhash64(x, y))))
-    keys = classes.select("id", "n", F.explode(pairs_of_halves).alias("key"))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = classes.select("id", "n", "halves").repartition(spread, "id").select("id", "n", F.explode(pairs_of_halves).alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "a")
     buckets = written(keys.join(shared, "key").select("key", "a", "id", "n"), "buckets")
     pairs = written(buckets.where("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    edges = written(_confirmed(pairs, texts, kind, threshold), "links")
+    edges = written(_confirmed(written(_alike(pairs, classes, threshold), "alike"), texts, kind, threshold), "links")
     label = components(edges)
     # Keys that still hold several components: compare members of different ones, unless that was done or their sizes exclude it.
     marked = buckets.join(label, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
@@ -188,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = written(marked.join(open_keys, "key", "left_semi"), "open")
     one, two = (marked.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("comp").alias(f"c_{i}")) for i in "ab")
     more = one.join(two, "key").where(f"c_a != c_b and a < b and 100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b").distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    more = written(_alike(more.join(pairs, ["a", "b"], "left_anti"), classes, threshold), "more")
     if not more.isEmpty():
         added = written(_confirmed(more, texts, kind, threshold), "links")
         if not added.isEmpty():
