@@ -87,13 +87,13 @@ def token_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].astype(np.int32)), pa.array(x[2])], names=["h", "shape", "c"])
 
         for b in batches:
-            for _, _, raw, off in tv.chunks(b.column(0), 4 << 20):
+            for _, _, raw, off in tv.chunks(b.column(0)):
                 h, s, _ = tokens(raw, off)
                 uniq, at, c = np.unique(h, return_index=True, return_counts=True)
                 held.append((uniq, s[at], c.astype(np.int64)))
-                if sum(len(x[0]) for x in held) > 1_500_000:
+                if sum(len(x[0]) for x in held) > 400_000:
                     merged = flush()
-                    if len(merged[0]) > 750_000:
+                    if len(merged[0]) > 200_000:
                         yield batch(merged)
                     else:
                         held.append(merged)
