@@ -132,5 +132,6 @@ def chunk_each(docs: DataFrame, strategy_col: str, max_col: str, overlap_col: st
 def collected(rows: DataFrame, doc: str = "doc_id", order: str = "block_idx") -> DataFrame:
     """Documents from exploded blocks: one shuffle by document, blocks in their order whatever the shuffle did."""
     names = [c for c in rows.columns if c not in (doc, order)]
-    sorted_ = F.array_sort(F.collect_list(F.struct(order, *names)))
+    by = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)  # noqa: E731  (blocks hold maps, which have no order)
+    sorted_ = F.array_sort(F.collect_list(F.struct(order, *names)), by)
     return rows.groupBy(doc).agg(F.transform(sorted_, lambda b: F.struct(*[b[c].alias(c) for c in names])).alias("blocks"))
