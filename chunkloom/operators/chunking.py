@@ -113,7 +113,11 @@ def chunk(docs: DataFrame, strategy: str = "by-structure", max_tokens: int | str
     docs = docs.where(F.size(blocks) > 0)
     if strategy == "fixed":
         return _fixed(docs, keep, blocks, m, o)
-    rows = docs.select(*keep, F.posexplode(parts_of(blocks, strategy, m, o)).alias("chunk_idx", "_part"))
+    return _chunks(docs, keep, parts_of(blocks, strategy, m, o))
+
+
+def _chunks(docs: DataFrame, keep: list[str], parts: Column) -> DataFrame:
+    rows = docs.select(*keep, F.posexplode(parts).alias("chunk_idx", "_part"))
     b, prefix = F.col("_part.blocks"), F.col("_part.prefix")
     low, high, conf = _pages(b)
     text = F.when(prefix.isNotNull() & (prefix != ""), F.concat(prefix, F.lit("\n"), joined(b))).otherwise(joined(b))
@@ -121,12 +125,13 @@ def chunk(docs: DataFrame, strategy: str = "by-structure", max_tokens: int | str
 
 
 def chunk_each(docs: DataFrame, strategy_col: str, max_col: str, overlap_col: str, blocks_col: str = "blocks") -> DataFrame:
-    """Each document by its own settings: a branch per strategy, one union, no shuffle."""
-    parts = [chunk(docs.where(F.col(strategy_col) == s), s, max_col, overlap_col, blocks_col) for s in STRATEGIES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Each document by its own settings: one branch for windows, one for all else; no shuffle."""
+    keep, m, o = [c for c in docs.columns if c != blocks_col], F.col(max_col).cast("int"), F.col(overlap_col).cast("int")
+    own = F.when(F.col(strategy_col) == STRATEGIES[0], parts_of(F.col(blocks_col), STRATEGIES[0], m, o))
+    for s in STRATEGIES[1:3]:
+        own = own.when(F.col(strategy_col) == s, parts_of(F.col(blocks_col), s, m, o))
+    some = docs.where((F.size(blocks_col) > 0) & (F.col(strategy_col) != "fixed"))
+    return _chunks(some, keep, own).unionByName(chunk(docs.where(F.col(strategy_col) == "fixed"), "fixed", max_col, overlap_col, blocks_col))
 
 
 def collected(rows: DataFrame, doc: str = "doc_id", order: str = "block_idx") -> DataFrame:
