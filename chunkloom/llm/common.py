@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that is unset, as in tests on one machine, is it a temporary folder of this machine.
     """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="chunkloom-"))
     return path.rstrip("/")

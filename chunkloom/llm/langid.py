@@ -117,8 +117,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         return f
 
     got = map_rows(texts, make, "lang string, tf binary").toArrow()
+    if not got.num_rows:
+        return None
     tf = np.array([np.frombuffer(x, np.uint16) for x in got["tf"].to_pylist()], dtype=np.float32).reshape(got.num_rows, -1)
-    return fit(tf, got["lang"].to_pylist(), clusters) if got.num_rows else None
+    return fit(tf, got["lang"].to_pylist(), clusters)
 
 
 def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
