@@ -459,3 +459,93 @@ def merge_ocr(spark, sf_dir):
 
 
 ORACLES["merge_ocr"] = "SELECT id::BIGINT AS id, idx, text, width::DOUBLE AS width, confidence::DOUBLE AS confidence FROM (VALUES (1, 0, 'Hello world', 85.0, 0.7), (1, 1, 'again', 40.0, 0.9), (2, 0, 'far', 10.0, 1.0), (2, 1, 'apart', 10.0, 0.5)) t(id, idx, text, width, confidence)"
+
+
+@query
+def pdf_fallback(spark, sf_dir):
+    """Turns as pages of text without layout: paragraphs with their kind and page."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.posexplode(F.filter(F.transform(F.split("text", "\\n\\n", -1), T.trim), lambda p: p != "")).alias("idx", "text"))
+    return rows.select("conv_id", F.col("turn").alias("page"), "idx", "text", T.classify("text").alias("kind"))
+
+
+_MANY = "len(string_split(rtrim(text, chr(10)), chr(10)))"
+ORACLES["pdf_fallback"] = f"""
+WITH p AS (SELECT conv_id, turn AS page, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS p FROM conversations WHERE text IS NOT NULL),
+t AS (SELECT conv_id, page, (i - 1)::INTEGER AS idx, p[i] AS text FROM p, unnest(range(1, len(p) + 1)) r(i))
+SELECT conv_id, page, idx, text, CASE WHEN {_MANY} = 1 AND {_FOOT} THEN 'footer' WHEN {_ITEM} THEN 'list_item'
+  WHEN {_MANY} = 1 AND strlen(text) < 120 AND NOT ends_with(text, '.') AND {_ALPHA} > 0 AND ({_UPPER} / {_ALPHA} > 0.6 OR strlen(text) < 60) THEN 'title' ELSE 'narrative_text' END AS kind FROM t"""
+
+
+@query
+def regions_in_reading_order(spark, sf_dir):
+    """The embeddings as eight regions each: those with a confidence of 0, by y, then x."""
+    e = F.col("embedding")
+    boxes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(i.alias("n"), F.get(e, i * 4).alias("confidence"), F.struct(F.round(F.get(e, i * 4 + 1).cast("double"), 1).alias("y"), F.round(F.get(e, i * 4 + 2).cast("double"), 1).alias("x")).alias("bbox")))
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", vision.reading_order(vision.confident(boxes, 0.0)).alias("r"))
+    out = rows.select("vec_id", F.posexplode("r").alias("idx", "r"))
+    return out.select("vec_id", "idx", F.col("r.bbox.y").alias("y"), F.col("r.bbox.x").alias("x"))
+
+
+ORACLES["regions_in_reading_order"] = """
+WITH b AS (SELECT vec_id, round(embedding[i * 4 + 2]::DOUBLE, 1) AS y, round(embedding[i * 4 + 3]::DOUBLE, 1) AS x FROM embeddings, range(0, 8) r(i) WHERE embedding[i * 4 + 1] >= 0)
+SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY y, x) - 1)::INTEGER AS idx, y, x FROM b"""
+
+
+@query
+def image_sizes(spark, sf_dir):
+    png, gif, bmp = bytes.fromhex("89504e470d0a1a0a0000000d49484452000001f400000064"), b"GIF89a" + bytes([44, 1, 7, 0]), b"BM" + bytes(16) + (640).to_bytes(4, "little") + (-480).to_bytes(4, "little", signed=True)
+    rows = [("a.png", bytearray(png)), ("b.gif", bytearray(gif)), ("c.bmp", bytearray(bmp)), ("d.png", bytearray(b"no")), ("e.tif", bytearray(png))]
+    return spark.createDataFrame(rows, "name string, content binary").select("name", T.image_size("content", T.extension("name")).alias("size"), T.format_by_magic("content").alias("magic"))
+
+
+ORACLES["image_sizes"] = _values([("a.png", "500x100", "image"), ("b.gif", "300x7", "image"), ("c.bmp", "640x480", "image"), ("d.png", None, None), ("e.tif", None, "image")], "name, size, magic")
+
+
+@query
+def pdf_lines(spark, sf_dir):
+    """Characters with places to lines, tables and paragraphs."""
+    import pandas as pd
+
+    from ..sources import pdf
+
+    def blocks(pages):
+        for page in pages:
+            for n, own in page.groupby("page"):
+                got = pdf.layout([pdf.Char(c.ch, c.x, c.y, c.y + c.size, 6.0, c.size, "F", bool(c.bold)) for c in own.itertuples()], int(n))
+                yield pd.DataFrame([(int(n), i, b.element_type, b.text) for i, b in enumerate(got)], columns=["page", "idx", "element_type", "text"])
+
+    word = lambda page, x, y, size, bold, text: [(page, x + 6.0 * i, y, size, bold, ch) for i, ch in enumerate(text)]
+    chars = word(1, 50.0, 700.0, 20.0, False, "Report") + word(1, 50.0, 660.0, 10.0, False, "first line goes on") + word(1, 50.0, 648.0, 10.0, False, "and ends here.") + word(1, 50.0, 600.0, 10.0, False, "- item")
+    for k in range(3):
+        for c in range(3):
+            chars += word(2, 50.0 + 100 * c, 500.0 - 12 * k, 10.0, k == 0, f"r{k}c{c}")
+    chars += word(2, 300.0, 20.0, 10.0, False, "7")
+    rows = spark.createDataFrame(chars, "page int, x double, y double, size double, bold boolean, ch string").repartition(1)
+    return rows.mapInPandas(blocks, "page int, idx int, element_type string, text string")
+
+
+ORACLES["pdf_lines"] = _values(
+    [(1, 0, "title", "Report"), (1, 1, "narrative_text", "first line goes on and ends here."), (1, 2, "list_item", "- item"), (2, 0, "table", "r1c0 | r1c1 | r1c2\nr2c0 | r2c1 | r2c2"), (2, 1, "footer", "7")], "page, idx, element_type, text"
+)
+
+
+@query
+def jsonl_render(spark, sf_dir):
+    """Chunks as JSON, read back."""
+    chunks = _turn_chunks(spark, sf_dir)
+    line = chunks.select("doc_id", render.chunk_json().alias("j"))
+    back = F.from_json("j", "id string, text string, token_count bigint, page_start int, page_end int, overlap_prefix string, source_blocks array<struct<element_type:string,text:string>>")
+    return line.select("doc_id", back.alias("c")).select("doc_id", "c.id", "c.text", "c.token_count", "c.page_start", "c.page_end", "c.overlap_prefix", F.size("c.source_blocks").alias("n_blocks"))
+
+
+ORACLES["jsonl_render"] = chunk_sql(_TURNS, "by-structure", 64, 0) + "SELECT doc_id, 'chunk-' || cid AS id, body AS text, ceil(strlen(body) / 5.0)::BIGINT AS token_count, page_start, page_end, prefix AS overlap_prefix, n_blocks FROM out"
+
+
+@query
+def conversation_round_trip(spark, sf_dir):
+    """Blocks exploded, shuffled and collected again keep their order."""
+    rows = turn_docs(spark, sf_dir).select("doc_id", F.posexplode("blocks").alias("block_idx", "b")).repartition("block_idx")
+    return chunking.collected(rows).select("doc_id", F.array_join(F.transform("blocks", lambda x: x["b"]["text"]), "\n").alias("text"), F.size("blocks").alias("n"))
+
+
+ORACLES["conversation_round_trip"] = f"WITH {_TURNS} SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS text, count(*)::INTEGER AS n FROM blk GROUP BY doc_id"

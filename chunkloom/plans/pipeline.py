@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions.text import needs_vision
 from ..model import E_CONFIG
 from ..operators import chunking, render
 from ..operators.tokens import bpe_tokens
@@ -38,6 +39,8 @@ def with_settings(docs: DataFrame, sidecars: DataFrame | None, settings: Setting
 def parsed_documents(spark: SparkSession, path: str, settings: Settings) -> DataFrame:
     """path, ext, format_key, length, blocks, error columns and settings of every document below a path."""
     docs = reader.parse_documents(reader.detect(reader.read_files(spark, path)))
+    # images and pages with next to no text would go to OCR; without models the parser's blocks stay
+    docs = docs.withColumn("needs_vision", F.col("format_key").isin("image", "pdf") & F.coalesce(needs_vision("blocks"), F.lit(False)))
     try:
         sidecars = reader.read_sidecars(spark, path)
     except Exception as e:  # a single file as input: there is nothing beside it to list
