@@ -11,6 +11,8 @@ from ..model import ELEMENTS
 
 #: Unicode White_Space, in Java's regular expressions.
 _SPACE = r"\p{IsWhite_Space}"
+#: The same as characters.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 EXTENSIONS = {
     "text": "txt text log cfg ini conf md markdown rst", "csv_tsv": "csv tsv tab", "html": "html htm xhtml mhtml mht", "pdf": "pdf",
@@ -23,15 +25,20 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: what a lambda captures is otherwise computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(text: Column | str) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(_c(text), f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(_c(text), F.lit(_SPACES))
 
 
 def lines(text: Column | str) -> Column:
     """Lines as an array; a carriage return before a line feed goes, and so does an empty last line."""
-    t = _c(text)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\r?\n\z", ""), r"\r?\n", -1))
+    t = F.replace(_c(text), F.lit("\r\n"), F.lit("\n"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.when(t.endswith("\n"), F.left(t, F.length(t) - 1)).otherwise(t), "\n", -1))
 
 
 def line_count(text: Column | str) -> Column:

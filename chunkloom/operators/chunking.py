@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fast_tokens
+from ..functions.text import fast_tokens, let
 
 STRATEGIES = ("by-structure", "by-title", "by-page", "fixed")
 
@@ -22,8 +22,7 @@ def joined(blocks: Column) -> Column:
 
 def _cut(blocks: Column, begins: Column) -> Column:
     """Parts of the array that start at the given places (from 0, ascending)."""
-    ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(blocks)))
-    return F.transform(begins, lambda b, i: F.slice(blocks, b + 1, F.get(ends, i) - b))
+    return let(begins, lambda at: F.transform(at, lambda b, i: F.slice(blocks, b + 1, F.coalesce(F.get(at, i + 1), F.size(blocks)) - b)))
 
 
 def packed(blocks: Column, max_tokens: Column) -> Column:
@@ -47,8 +46,8 @@ def tail_text(blocks: Column, overlap: Column) -> Column:
 
 def _run(blocks: Column, max_tokens: Column, overlap: Column) -> Column:
     """Parts of a run of blocks with the overlap of the part before; null for the first."""
-    parts = packed(blocks, max_tokens)
-    return F.transform(parts, lambda p, i: F.struct(p.alias("blocks"), F.when(i > 0, tail_text(F.get(parts, i - 1), overlap)).alias("prefix")))
+    one = lambda parts: F.transform(parts, lambda p, i: F.struct(p.alias("blocks"), F.when(i > 0, let(F.get(parts, i - 1), lambda b: tail_text(b, overlap))).alias("prefix")))
+    return let(packed(blocks, max_tokens), one)
 
 
 def _titled(blocks: Column) -> Column:
@@ -88,8 +87,8 @@ def _fixed(docs: DataFrame, keep: list[str], blocks: Column, max_tokens: Column,
     """Windows of code points. All blocks go with every window, so they are carried by reference: source_blocks is filled late."""
     width, ov = max_tokens * 4, overlap * 4
     step = F.when(width > ov, width - ov).otherwise(width)
-    rows = docs.withColumn("_text", joined(blocks)).where("_text <> ''").withColumn("_fits", fast_tokens("_text") <= max_tokens)
-    starts = F.when(F.col("_fits"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.length("_text") - 1, F.lit(0)), step.cast("int")))
+    rows = docs.withColumn("_text", joined(blocks)).withColumn("_fits", fast_tokens("_text") <= max_tokens)
+    starts = F.when(F.col("_text") == "", F.array().cast("array<int>")).when(F.col("_fits"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.length("_text") - 1, F.lit(0)), step.cast("int")))
     low, high, conf = _pages(blocks)
     rows = rows.withColumns({"_low": low, "_high": high, "_conf": conf, "_width": width, "_ov": ov}).select("*", F.posexplode(starts).alias("chunk_idx", "_start"))
     begin = F.greatest(F.col("_start") - F.col("_ov"), F.lit(0))
@@ -103,14 +102,13 @@ def _fixed(docs: DataFrame, keep: list[str], blocks: Column, max_tokens: Column,
 
 
 def chunk(docs: DataFrame, strategy: str = "by-structure", max_tokens: int | str = 512, overlap: int | str = 50, blocks_col: str = "blocks", keep: list[str] | None = None) -> DataFrame:
-    """One row per chunk, chunk_idx from 0 in each document. max_tokens and overlap are numbers or names of columns.
+    """One row per chunk, chunk_idx from 0 in each document (no filter on the blocks: it would compute them twice). max_tokens and overlap are numbers or names of columns.
 
     A document without blocks, or with null ones, has no chunks.
     """
     keep = keep if keep is not None else [c for c in docs.columns if c != blocks_col]
     number = lambda x: F.col(x).cast("int") if isinstance(x, str) else F.lit(int(x))
     m, o, blocks = number(max_tokens), number(overlap), F.col(blocks_col)
-    docs = docs.where(F.size(blocks) > 0)
     if strategy == "fixed":
         return _fixed(docs, keep, blocks, m, o)
     return _chunks(docs, keep, parts_of(blocks, strategy, m, o))
@@ -130,7 +128,7 @@ def chunk_each(docs: DataFrame, strategy_col: str, max_col: str, overlap_col: st
     own = F.when(F.col(strategy_col) == STRATEGIES[0], parts_of(F.col(blocks_col), STRATEGIES[0], m, o))
     for s in STRATEGIES[1:3]:
         own = own.when(F.col(strategy_col) == s, parts_of(F.col(blocks_col), s, m, o))
-    some = docs.where((F.size(blocks_col) > 0) & (F.col(strategy_col) != "fixed"))
+    some = docs.where(F.col(strategy_col) != "fixed")
     return _chunks(some, keep, own).unionByName(chunk(docs.where(F.col(strategy_col) == "fixed"), "fixed", max_col, overlap_col, blocks_col))
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import element_name
+from ..functions.text import element_name, let
 
 
 def type_runs(blocks: Column) -> Column:
     """Names of the blocks' types, repeats in a row once, joined with commas."""
     names = F.transform(blocks, lambda b: element_name(b["element_type"]))
-    return F.array_join(F.filter(F.transform(names, lambda n, i: F.when((i == 0) | (F.get(names, F.greatest(i - 1, F.lit(0))) != n), n)), lambda n: n.isNotNull()), ",")
+    runs = lambda all_: F.transform(all_, lambda n, i: F.when((i == 0) | (F.get(all_, F.greatest(i - 1, F.lit(0))) != n), n))
+    return F.array_join(F.filter(let(names, runs), lambda n: n.isNotNull()), ",")
 
 
 def columnar(chunks: DataFrame, keep: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..model import E_MODEL, E_PARSE, DocError
 
 
@@ -20,7 +21,10 @@ def ctc_decode(logits: Column, chars: Column) -> Column:
 
     chars holds the characters of the classes from 1 on; classes beyond it are dropped.
     """
-    best = F.transform(logits, lambda row: F.array_position(row, F.array_max(row)).cast("int") - 1)
+    return let(F.transform(logits, lambda row: F.array_position(row, F.array_max(row)).cast("int") - 1), lambda best: _ctc(logits, best, chars))
+
+
+def _ctc(logits: Column, best: Column, chars: Column) -> Column:
     kept = F.filter(F.transform(best, lambda b, t: F.struct(b.alias("b"), t.alias("t"))), lambda x: (x["b"] > 0) & (x["b"] <= F.size(chars)) & ((x["t"] == 0) | (F.get(best, F.greatest(x["t"] - 1, F.lit(0))) != x["b"])))
     text = F.array_join(F.transform(kept, lambda x: F.get(chars, x["b"] - 1)), "")
     total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + F.lit(1.0) / (F.lit(1.0) + F.exp(-F.array_max(F.get(logits, x["t"])).cast("double"))))

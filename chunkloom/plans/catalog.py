@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..model import BLOCK
 from ..operators import chunking, render, vision
 from ..operators.tokens import bpe_tokens
+from ..sources.reader import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +27,7 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def block(kind: Column, text: Column, page: Column, confidence: Column, rows: Column | None = None, headers: Column | None = None) -> Column:

@@ -11,7 +11,7 @@ from xml.parsers import expat
 
 from ..model import E_INPUT, E_PARSE, Block, DocError
 
-_WHITE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(s: str) -> str:

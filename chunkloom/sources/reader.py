@@ -37,6 +37,17 @@ def parse(content: bytes, format_key: str, ext: str, document_order: bool = Fals
         raise DocError(E_PARSE, f"{type(e).__name__}: {e}") from e
 
 
+def spread(df: DataFrame, part_bytes: int = 1 << 20) -> DataFrame:
+    """The same rows in as many partitions as there are cores, if a table of a few large row groups has fewer.
+
+    Tables with enough splits, as all large ones have, are left as they are: nothing is shuffled then.
+    """
+    plan = df._jdf.queryExecution()
+    have, cores = plan.toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    want = min(cores, int(str(plan.optimizedPlan().stats().sizeInBytes())) // part_bytes)
+    return df.repartition(want) if have < want else df
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length and content of a file or of all files below a folder, but for the settings files beside documents."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").endswith(SIDECAR)).select("path", "length", "content")
