@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
 from dataclasses import dataclass, fields
 
@@ -9,7 +10,8 @@ from .model import E_CONFIG, DocError
 from .operators.chunking import STRATEGIES
 
 FORMATS = ("json", "jsonl", "parquet", "markdown")
-SIDECAR = ".parser-chunker.toml"
+#: Ending of the settings file beside a document (CHUNKLOOM_SIDECAR names another).
+SIDECAR = os.environ.get("CHUNKLOOM_SIDECAR", ".chunkloom.toml")
 
 
 @dataclass

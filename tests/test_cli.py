@@ -47,7 +47,7 @@ def folder(tmp_path):
     d = tmp_path / "in" / "sub"
     d.mkdir(parents=True)
     (tmp_path / "in/a.md").write_text("# T\n\npara\n\n- x\n")
-    (tmp_path / "in/a.md.parser-chunker.toml").write_text('max_tokens = 1\noverlap = 0\nchunk_strategy = "by-title"\n')
+    (tmp_path / "in/a.md.chunkloom.toml").write_text('max_tokens = 1\noverlap = 0\nchunk_strategy = "by-title"\n')
     (d / "a.txt").write_text("one\n\ntwo\n")
     (d / "noext").write_bytes(b"<?xml version='1.0'?><r><p>hi</p></r>")
     (d / "book.epub").write_bytes(b"x")
