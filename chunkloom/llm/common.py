@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="chunkloom-"))
     return path.rstrip("/")
 
