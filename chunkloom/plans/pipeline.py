@@ -61,7 +61,7 @@ def summary(docs: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame
     """One row: documents, successes, failures, chunks and the common settings."""
     failed = F.col("error_code").isNotNull()
     counts = docs.agg(F.count(F.lit(1)).alias("total_files"), F.count_if(~failed).alias("succeeded"), F.count_if(failed).alias("failed"))
-    return counts.crossJoin(chunks.agg(F.count(F.lit(1)).alias("total_chunks"))).withColumns({"chunk_strategy": F.lit(settings.chunk_strategy), "max_tokens": F.lit(settings.max_tokens), "overlap": F.lit(settings.overlap)})
+    return counts.withColumns({"total_chunks": F.lit(chunks.count()), "chunk_strategy": F.lit(settings.chunk_strategy), "max_tokens": F.lit(settings.max_tokens), "overlap": F.lit(settings.overlap)})
 
 
 def file_name(path: Column) -> Column:
