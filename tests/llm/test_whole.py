@@ -28,3 +28,28 @@ def test_leaks_among_rare_words(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
     assert got == {(d, i) for d, t in rows for i, w in items.items() if decontam.Item(i, decontam.word_hashes(" ".join(w)), decontam.word_hashes(" ".join(w[-3:]))).check(decontam.word_hashes(t), decontam.Retrieval())[2]}
     assert got >= want
+
+
+def test_answers_at_the_end_of_a_text():
+    # a fifth of the words, the answer, at the end; 40 % of the others replaced
+    rng, lost = np.random.default_rng(5), []
+    for k in range(300):
+        n = int(rng.integers(40, 160))
+        w = np.arange(1, n + 1).astype(np.uint64)
+        item = decontam.Item(0, w, w[-max(3, n // 5) :])
+        leak, head = w.copy(), n - len(item.answer)
+        leak[rng.choice(head, int(0.4 * head), replace=False)] = 1000 + k
+        text = np.concatenate([5000 + np.arange(200 + k), leak]).astype(np.uint64)
+        if not item.check(text, decontam.Retrieval())[2]:
+            lost.append(k)
+    assert not lost
+
+
+def test_any_stretch_may_hold_the_answer():
+    w = np.arange(1, 21).astype(np.uint64)
+    item = decontam.Item(0, w, w[-4:])
+    filler = 500 + np.arange(60)
+    # fourteen words without the answer, and elsewhere twelve with it
+    text = np.concatenate([w[:14], filler, w[:8], w[-4:], filler]).astype(np.uint64)
+    share, answered, bad = item.check(text, decontam.Retrieval())
+    assert bad and share == 0.6 and answered == 1
