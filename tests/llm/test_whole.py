@@ -53,3 +53,22 @@ def test_any_stretch_may_hold_the_answer():
     text = np.concatenate([w[:14], filler, w[:8], w[-4:], filler]).astype(np.uint64)
     share, answered, bad = item.check(text, decontam.Retrieval())
     assert bad and share == 0.6 and answered == 1
+
+
+def test_the_space_follows_the_items(spark, monkeypatch):
+    rng, seen = np.random.default_rng(6), []
+    items = [" ".join(f"w{x}" for x in rng.integers(0, 2500, 24)) for _ in range(500)]
+    docs = spark.createDataFrame([(d, " ".join(f"w{x}" for x in rng.integers(0, 2500, 120)) + (" " + items[d] if d < 20 else "")) for d in range(300)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    real = decontam.latent_space
+
+    def space(passages, ids, idf, *rest):
+        out = real(passages, ids, idf, *rest)
+        for x in ids:
+            v = np.bincount(x, minlength=len(idf)) * idf
+            seen.append(np.linalg.norm(v @ out) / np.linalg.norm(v))
+        return out
+
+    monkeypatch.setattr(decontam, "latent_space", space)
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(d, d) for d in range(20)}
+    assert len(seen) == 500 and np.median(seen) > 0.74
