@@ -1,8 +1,9 @@
 """Operators do the whole job: nothing is lost as corpora and benchmarks grow."""
 
 import numpy as np
+import pyarrow as pa
 
-from chunkloom.llm import decontam
+from chunkloom.llm import decontam, secrets
 
 
 def test_leaks_among_rare_words(spark):
@@ -72,3 +73,17 @@ def test_the_space_follows_the_items(spark, monkeypatch):
     monkeypatch.setattr(decontam, "latent_space", space)
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(d, d) for d in range(20)}
     assert len(seen) == 500 and np.median(seen) > 0.74
+
+
+def test_secrets_joined_to_other_text():
+    model = secrets.Model({k: secrets.infer([x.encode() for x in v]) for k, v in secrets.format_examples().items()})
+    for name, fresh in secrets.format_examples(400).items():
+        lost, alone = 0, sum(model.kind(x.encode()) is None for x in fresh[200:])
+        for x in fresh[200:]:
+            for before, after in (("GH=", ""), ("https://h.org/?key=", ""), ("//host/", "/v1/x"), ("deadbeefdeadbeef0123/", ""), ("a.b-", ".json")):
+                text = f"see {before}{x}{after} end"
+                got = secrets.find(pa.array([text]), model)[0]
+                lost += not any(k in secrets.FORMATS and s <= text.index(x) and e >= text.index(x) + len(x) for s, _, k, e, _ in got)
+        assert lost <= 5 * alone + 50, (name, lost, alone)
+    plain = ["https://www.example.org/docs/2024/10/index.html?page=12", "src/main/java/org/apache/Some_Class.java", "state-of-the-art/one.two.three=4"]
+    assert secrets.find(pa.array(plain), model) == [[], [], []]
