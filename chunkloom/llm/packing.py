@@ -283,14 +283,13 @@ class Plan:
     def _has(self, *parts: int) -> bool:
         return all(self.left[p] >= parts.count(p) for p in set(parts))
 
-    def _pair(self, gap: int) -> tuple[int, int] | None:
-        """Two lengths of which pieces are left that make the gap, the longer one as long as can be."""
+    def _pair(self, gap: int, first: int = 0) -> tuple[int, int] | None:
+        """Two lengths of which pieces are left, beside one of the first length, that make the gap, the longer one as long as can be."""
         a = np.arange(1, gap // 2 + 1)
-        ok = np.flatnonzero((self.left[a] > 0) & (self.left[gap - a] > 0))
-        for k in ok[:2]:
-            if self._has(int(a[k]), gap - int(a[k])):
-                return gap - int(a[k]), int(a[k])
-        return None
+        b = gap - a
+        both = (a == b).astype(np.int64)
+        ok = np.flatnonzero((self.left[a] > both + (a == first)) & (self.left[b] > both + (b == first)))
+        return (int(b[ok[0]]), int(a[ok[0]])) if len(ok) else None
 
     def _sums(self) -> np.ndarray:
         """Sums of two lengths that were left not long ago; some may be gone."""
@@ -302,6 +301,13 @@ class Plan:
         self._age += 1
         return self._pairs
 
+    def _triple(self, gap: int, firsts: np.ndarray) -> tuple[int, ...] | None:
+        for x in firsts.tolist():
+            pair = self._pair(gap - x, x)
+            if pair:
+                return (x, *pair)
+        return None
+
     def _exact(self, gap: int) -> tuple[int, ...] | None:
         if self.left[gap]:
             return (gap,)
@@ -310,9 +316,14 @@ class Plan:
             return pair
         if gap > 2:
             a = np.arange(gap - 2, 0, -1)
-            for x in a[(self.left[a] > 0) & self._sums()[gap - a]][:24]:
-                pair = self._pair(gap - int(x))
-                if pair and self._has(int(x), *pair):
+            hits = a[(self.left[a] > 0) & self._sums()[gap - a]]
+            for k, x in enumerate(hits):
+                if k == 24 and self._age > 1:  # sums that are gone: look only at those that there are now
+                    self._age = 257
+                    hits = hits[self._sums()[gap - hits]]
+                    return self._triple(gap, hits[hits < x + 1])
+                pair = self._pair(gap - int(x), int(x))
+                if pair:
                     return (int(x), *pair)
         return None
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from chunkloom.llm import decontam, secrets
+from chunkloom.llm import decontam, packing, secrets
 
 
 def test_leaks_among_rare_words(spark):
@@ -87,3 +87,30 @@ def test_secrets_joined_to_other_text():
         assert lost <= 5 * alone + 50, (name, lost, alone)
     plain = ["https://www.example.org/docs/2024/10/index.html?page=12", "src/main/java/org/apache/Some_Class.java", "state-of-the-art/one.two.three=4"]
     assert secrets.find(pa.array(plain), model) == [[], [], []]
+
+
+def test_every_exact_triple_is_found():
+    # brute force over small sets of lengths, with sums that are still those of all lengths
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        plan = packing.Plan({}, 400)
+        plan.left[rng.integers(1, 400, 60)] = 1
+        plan._sums()
+        plan.left[rng.permutation(400)[:330] + 1] = 0
+        have = np.flatnonzero(plan.left).tolist()
+        for gap in range(3, 400, 7):
+            any_left = gap in have or any(gap - x in have and gap - x != x for x in have) or any(gap - x - y in have and len({x, y, gap - x - y}) == 3 for x in have for y in have)
+            got = plan._exact(gap)
+            assert (got is not None) == any_left
+            assert got is None or (sum(got) == gap and plan._has(*got))
+
+
+def test_triples_beyond_the_first_24():
+    plan = packing.Plan({}, 1000)
+    # sums of the first 30 lengths are gone; 100 + 150 + 250 is left
+    plan.left[[*range(450, 480), *range(10, 26)]] = 1
+    plan.left[[100, 150, 250]] = 1
+    plan._sums()
+    plan.left[10:26] = 0
+    got = plan._exact(500)
+    assert got is not None and sorted(got) == [100, 150, 250]
