@@ -46,6 +46,22 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted together once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(written(df, name))
+        return self.made[-1]
+
+    def close(self) -> None:
+        for df in self.made:
+            dropped(df)
+        self.made.clear()
+
+
 def fold(id_col: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; 0 for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -72,6 +88,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[s
     return df.mapInArrow(run, schema)
 
 
+def batch_function(make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str):
+    """A column function of one column, by Arrow batches, set up once per task: only that column leaves the JVM, only the result comes back."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f = make()
+        for b in batches:
+            yield f(b)
+
+    return run
+
+
 def _split_schema(schema: str) -> list[str]:
     out, depth = [""], 0
     for ch in schema:

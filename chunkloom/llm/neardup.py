@@ -4,17 +4,23 @@ A document's set is its distinct two-word shingles. Two collections of HALVES ha
 computed once; the table keys are all pairs of a half key of the first and one of the second, so HALVES**2 tables cost
 2 * HALVES * WIDTH minhashes and no more. At similarity s a pair meets in some table unless all half keys of a collection
 differ: it is missed with probability 2 * (1 - s**WIDTH)**HALVES, which is about 1e-5 at s = 0.8 and falls fast above.
-
-Documents with equal sets are one class from the start. Classes that share a table key are compared with the key's smallest
-member (a star, never all pairs); what that links is joined to components; only where a key still holds more than one
-component are members of different ones compared, so that no candidate pair is left out that could change the result.
-Before texts are fetched, the 2 * HALVES * WIDTH minhashes, a byte of each, are compared: pairs that agree in fewer than
+A table key can't be shared unless both of its halves are, so half keys of one class alone are dropped before pairs of them
+are made; that loses nothing, and few table keys remain.
+
+Documents with equal sets are one class from the start, whatever their ids. Classes that share a table key are compared with
+one of the key's members (a star, never all pairs); what that links is joined to components. Where a key still holds more than
+one component, their members are joined by an exact prefix filter: with the shingles of every set in one order, rare ones
+first (by a sketch of fixed size), two sets as similar as required share one among the first few of each. Only pairs that do
+are compared, so no link is left out, and a family of texts that share a template but are not similar enough has next to none.
+Before sets are fetched, the 2 * HALVES * WIDTH minhashes, a byte of each, are compared: pairs that agree in fewer than
 AGREE of them are no candidates (at s = 0.8 a pair is lost so with probability 3e-6).
-Texts of candidates meet in groups of bounded size: those of a class with many partners are split over salts.
+Sets of candidates meet in groups of bounded size: those of a class with many partners are split over salts.
 
-Defined cases: null texts, and texts without words, have an empty set and are linked with nothing; a text of one word has
-that word as its only shingle; a row with a null id is linked with nothing; rows with the same id belong together; an empty
-table gives no rows; texts of any length are compared whole.
+Defined cases: null texts, and texts without words, have an empty set and are linked with nothing, not even with other texts
+of their id; a text of one word has that word as its only shingle; a row with a null id is linked with nothing and kept; rows
+with the same id belong together, whether their texts are equal or not, and so do all rows that any of them is linked with;
+the order of rows doesn't matter; an empty table gives no rows; texts of any length are compared whole; columns beside id and
+text, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -27,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import binaries, dropped, lists, map_rows, narrow, written
+from .common import Scratch, binaries, dropped, lists, map_rows, narrow, written
 
 HALVES, WIDTH = 12, 2
-#: Rows of ids up to which a side is sent to all executors or to the driver; above, the same is done by shuffles.
-FEW_ROWS = 400_000
+#: Rows and bytes of ids up to which a side is sent to all executors or to the driver; above, the same is done by shuffles.
+FEW_ROWS, FEW_BYTES = 100_000, 4 << 20
 #: Members that are compared with a copy of a class in one group.
 GROUP = 500
+#: Bits of the sketch that orders shingles by the number of sets that hold them.
+RARITY_BITS = 20
 #: Of 48 minhashes, those in which the pair must agree. At another threshold than 80 percent: the same deviations below the mean.
 AGREE = 25
 
@@ -65,16 +73,24 @@ def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sh, np.searchsorted(rows, np.arange(len(off)))
 
 
+def digests(sh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each whole set; 0 for an empty one."""
+    has = np.diff(first) > 0
+    out = np.zeros((2, len(has)), np.uint64)
+    if has.any():
+        out[0, has] = np.add.reduceat(tv.mix(sh + np.uint64(1)), first[:-1][has])
+        out[1, has] = np.add.reduceat(tv.mix(sh ^ np.uint64(0xA5A5A5A55A5A5A5A)), first[:-1][has])
+    return out[0], out[1]
+
+
 def sketch(sh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of each whole set; of each non-empty set its half keys (rows of 2 * HALVES) and a byte of each minhash."""
     has = np.diff(first) > 0
     at = first[:-1][has]
-    s1, s2 = np.zeros(len(has), np.uint64), np.zeros(len(has), np.uint64)
+    s1, s2 = digests(sh, first)
     keys = np.zeros((int(has.sum()), 2 * HALVES), np.uint64)
     small = np.zeros((int(has.sum()), 2 * HALVES * WIDTH), np.uint8)
     if len(at):
-        s1[has] = np.add.reduceat(tv.mix(sh + np.uint64(1)), at)
-        s2[has] = np.add.reduceat(tv.mix(sh ^ np.uint64(0xA5A5A5A55A5A5A5A)), at)
         for k in range(2 * HALVES):
             h = np.full(len(at), k, dtype=np.uint64)
             for t in range(k * WIDTH, (k + 1) * WIDTH):
@@ -106,10 +122,17 @@ def _sketches(docs: DataFrame, kind: str) -> DataFrame:
     return map_rows(docs, make, f"id {kind}, n long, s1 long, s2 long, halves array<bigint>, bytes binary")
 
 
+def _few(rows: DataFrame, *ids: str) -> bool:
+    """Whether the rows, with ids of any type, are few enough to be sent to all executors."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(sum((F.sum(F.octet_length(F.col(c).cast("string"))) for c in ids), F.lit(0)), F.lit(0))).first()
+    return n <= FEW_ROWS and size <= FEW_BYTES
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose minhashes agree often enough."""
+    """The pairs (a, b) whose sizes allow a link and whose minhashes agree often enough."""
     least = least_agreement(threshold)
-    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("bytes").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("bytes").alias("y")), "b").select("a", "b", "x", "y")
+    one, two = (classes.select(F.col("u").alias(i), F.col("n").alias(f"n_{i}"), F.col("bytes").alias(x)) for i, x in ("ax", "by"))
+    both = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,112 +140,227 @@ def _alike(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
                 x, y = (tv.text_buffer(b.column(k))[0].reshape(b.num_rows, -1) for k in (2, 3))
                 yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
-    return both.mapInArrow(run, pairs.schema)
+    return both.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, kind: str, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least threshold percent. Texts meet once per group of a and some of its partners."""
+def _sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """u and sh, the whole set in ascending order, of the classes in nodes (column u). A class can come more than once."""
+    want = scratch(classes.join(nodes, "u", "left_semi").select("u", "id", "s1"), "wanted")
+    rows = texts.join(F.broadcast(want) if _few(want, "id") else want, "id").select("u", "s1", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            own, s1 = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+            for i, j, raw, off in tv.chunks(b.column(2)):
+                sh, first = shingles(raw, off)
+                # another text of the same id has another digest
+                use = [k for k in np.flatnonzero(digests(sh, first)[0].view(np.int64) == s1[i:j]).tolist() if own[i + k] not in seen]
+                seen.update(own[i + k] for k in use)
+                yield pa.RecordBatch.from_arrays([pa.array([own[i + k] for k in use], pa.int64()), binaries(sh, first).take(pa.array(use, pa.int64()))], names=["u", "sh"])
+
+    return scratch(rows.mapInArrow(run, "u long, sh binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose similarity is at least threshold percent. Sets meet once per group of a and some of its partners."""
     size = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
-    salted = pairs.join(size, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / GROUP)).cast("int")).select("a", "b", "salt")
-    want = salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id")).distinct().unionByName(salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id")))
-    want = written(want, "wanted")
-    if want.count() <= FEW_ROWS:
-        rows = docs.join(F.broadcast(want), "id")
-    else:
-        rows = docs.join(want, "id")
-    rows = rows.select("a", "salt", "role", "id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id")
+    salted = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / GROUP)).cast("int").alias("salt"))
+    want = salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("u")).distinct().unionByName(salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("u")))
+    want = scratch(want, "meeting")
+    rows = sets.join(F.broadcast(want) if _few(want) else want, "u").select("a", "salt", "role", "u", "sh").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(4)]
+            a, salt, role, b = (batch.column(k).to_pylist() for k in range(4))
+            raw, off = tv.text_buffer(batch.column(4))
             left, right = [], []
-            for i, _, raw, off in tv.chunks(batch.column(4)):
-                sh, first = shingles(raw, off)
-                for k in range(len(off) - 1):
-                    a, salt, role, b = (c[i + k] for c in cols)
-                    s = sh[first[k] : first[k + 1]]
-                    if role == 0:
-                        if group != (a, salt):
-                            group, own = (a, salt), s.copy()
-                        continue
-                    if group != (a, salt):  # the other text isn't in the table: nothing to compare with
-                        continue
+            for k in range(batch.num_rows):
+                s = raw[off[k] : off[k + 1]].view(np.uint64)
+                if role[k] == 0:
+                    group, own = (a[k], salt[k]), s.copy()
+                elif group == (a[k], salt[k]):
                     n, m = len(own), len(s)
-                    if 100 * min(n, m) >= threshold * max(n, m) and n:
+                    if n and 100 * min(n, m) >= threshold * max(n, m):
                         both = int((own[np.minimum(np.searchsorted(own, s), n - 1)] == s).sum())
                         if 100 * both >= threshold * (n + m - both):
-                            left.append(a)
-                            right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, batch.column(0).type), pa.array(right, batch.column(3).type)], names=["a", "b"])
+                            left.append(a[k])
+                            right.append(b[k])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return scratch(rows.mapInArrow(run, "a long, b long").distinct(), "links")
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
+def rarity(sets: DataFrame) -> np.ndarray:
+    """For every value of the first RARITY_BITS bits of a shingle, how many sets' shingles have it (a set counts once for each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for b in batches:
+            raw, off = tv.text_buffer(b.column(0))
+            for i, j in tv.spans_of_rows(off):
+                total += np.bincount((raw[off[i] : off[j]].view(np.uint64) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "c"])
+
+    got = sets.select("sh").mapInArrow(run, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    out[got["slot"].to_numpy()] = got["c"].to_numpy()
+    return out
 
-def components(edges: DataFrame) -> DataFrame:
-    """id and comp, the smallest id that it reaches, of every id in an edge (a, b) whose comp is another id.
+
+def prefix_lengths(n: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many first shingles of a set of n are looked at for a partner that is not larger, and for one that is not smaller."""
+    return n - -(-threshold * n // 100) + 1, n - -(-2 * threshold * n // (100 + threshold)) + 1
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of members (u, comp) of different components that can be similar enough: all that are, and few others.
+
+    Of two sets with a similarity of t the larger has one of its first n - t n + 1 shingles in common with the first
+    m - 2 t m / (1 + t) + 1 of the smaller, whatever the order, if it is one order for all.
+    """
+    spark = sets.sparkSession
+    shared = spark.sparkContext.broadcast(rarity(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for b in batches:
+            raw, off = tv.text_buffer(b.column(2))
+            u, comp = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, j in tv.spans_of_rows(off):
+                sh, n = raw[off[i] : off[j]].view(np.uint64), np.diff(off[i : j + 1]) // 8
+                first = np.concatenate([[0], np.cumsum(n)])
+                row = tv.row_of(first)
+                times = often[(sh >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
+                order = np.lexsort((sh, times, row))
+                place = np.arange(len(sh)) - first[row]
+                far, near = (x[row] for x in prefix_lengths(n, threshold))
+                use = (place < far) & (times[order] > 1)  # what one set alone has is shared by none
+                at, r = order[use], row[use]
+                yield pa.RecordBatch.from_arrays([pa.array(sh[at].view(np.int64)), pa.array(u[i:j][r]), pa.array(comp[i:j][r]), pa.array(n[r]), pa.array(place[use] < near[use])], names=["g", "u", "comp", "n", "near"])
+
+    rows = members.join(sets, "u").select("u", "comp", "sh").mapInArrow(run, "g long, u long, comp long, n long, near boolean")
+    rows = scratch(rows.distinct(), "prefixes")
+    mixed = rows.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("near").alias("z")).where("x != y and z").select("g")
+    rows = rows.join(mixed, "g", "left_semi")
+    one, two = rows.select("g", *[F.col(c).alias(f"{c}_a") for c in ("u", "comp", "n")]), rows.where("near").select("g", *[F.col(c).alias(f"{c}_b") for c in ("u", "comp", "n")])
+    both = one.join(two, "g").where(f"comp_a != comp_b and (n_b < n_a or n_b = n_a and u_b < u_a) and 100 * n_b >= {threshold} * n_a")
+    pairs = scratch(both.select(F.least("u_a", "u_b").alias("a"), F.greatest("u_a", "u_b").alias("b")).distinct(), "near")
+    shared.destroy()
+    return pairs
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """u and comp, the smallest number that it reaches, of every number in an edge (a, b) whose comp is another.
 
     Few edges are joined on the driver; more by alternating large and small stars, which shuffles edges only.
     """
-    spark, kind = edges.sparkSession, edges.schema["a"].dataType.simpleString()
+    spark = edges.sparkSession
     if edges.count() <= FEW_ROWS:
-        up: dict = {}
+        up: dict[int, int] = {}
 
-        def root(x):
+        def root(x: int) -> int:
             while up.get(x, x) != x:
                 up[x] = up.get(up[x], up[x])
                 x = up[x]
             return x
 
-        for a, b in zip(*(edges.toArrow()[c].to_pylist() for c in ("a", "b")), strict=True):
+        got = edges.toArrow()
+        for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True):
             x, y = root(a), root(b)
             if x != y:
                 up[max(x, y)] = min(x, y)
-        pairs = [(x, root(x)) for x in list(up)]
-        return spark.createDataFrame(pa.table({"id": [x for x, _ in pairs], "comp": [y for _, y in pairs]}).to_pandas() if pairs else [], f"id {kind}, comp {kind}")
+        found = [(x, root(x)) for x in list(up)]
+        return spark.createDataFrame(pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "comp": pa.array([y for _, y in found], pa.int64())}))
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), "m").where("u != m").unionByName(low.select("u", "m")).select("u", F.col("m").alias("v")).distinct()
         new = written(small, "edges")
         same = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if same(new) == same(now):
-            return new.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+        done = same(new) == same(now)
         dropped(now)
+        if done:
+            scratch.made.append(new)
+            return new.select("u", F.col("v").alias("comp"))
         now = new
 
 
+def _table_keys(classes: DataFrame) -> DataFrame:
+    """u and key of every class' table keys whose two halves other classes have too."""
+    halves = classes.select("u", F.posexplode("halves").alias("k", "half"))
+    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
+    kept = halves.join(shared, "half", "left_semi").groupBy("u").agg(F.collect_list(F.struct("k", "half")).alias("h"))  # 2 * HALVES at most
+    side = lambda k: F.transform(F.filter("h", lambda x: (x.k >= HALVES) == F.lit(bool(k))), lambda x: x.half)
+    return kept.select("u", F.explode(F.flatten(F.transform(side(0), lambda x: F.transform(side(1), lambda y: F.xxhash64(x, y))))).alias("key"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; threshold is the least similarity in percent."""
     kind = docs.schema[id_col].dataType.simpleString()
+    scratch = Scratch()
     texts = narrow(docs, id=id_col, text=text_col)
-    rows = written(_sketches(texts, kind), "sketches")
+    rows = scratch(_sketches(texts, kind), "sketches")
     usable = rows.where("n > 0 and id is not null")
-    classes = written(usable.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "halves", "bytes")).alias("m")).select("n", "s1", "s2", "m.*"), "classes")
-    pairs_of_halves = F.flatten(F.transform(F.slice("halves", 1, HALVES), lambda x: F.transform(F.slice("halves", HALVES + 1, HALVES), lambda y: F.xxhash64(x, y))))
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = classes.select("id", "n", "halves").repartition(spread, "id").select("id", "n", F.explode(pairs_of_halves).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "a")
-    buckets = written(keys.join(shared, "key").select("key", "a", "id", "n"), "buckets")
-    pairs = written(buckets.where("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    edges = written(_confirmed(written(_alike(pairs, classes, threshold), "alike"), texts, kind, threshold), "links")
-    label = components(edges)
-    # Keys that still hold several components: compare members of different ones, unless that was done or their sizes exclude it.
-    marked = buckets.join(label, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    classes = usable.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "halves", "bytes")).alias("m")).select(F.monotonically_increasing_id().alias("u"), "n", "s1", "s2", "m.*")
+    classes = scratch(classes, "classes")  # u numbers the classes once for all
+    keys = scratch(_table_keys(classes), "keys")
+    shared = keys.groupBy("key").agg(F.min("u").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "a")
+    buckets = scratch(keys.join(shared, "key").select("key", "a", "u"), "buckets")
+    pairs = scratch(buckets.where("u != a").select("a", F.col("u").alias("b")).distinct(), "pairs")
+    alike = scratch(_alike(pairs, classes, threshold), "alike")
+    sets = _sets(alike.select(F.explode(F.array("a", "b")).alias("u")).distinct(), classes, texts, scratch)
+    edges = _confirmed(alike, sets, threshold, scratch)
+    # Rows of one id belong together: its classes are linked as they are.
+    several = usable.groupBy("id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x != y").select("id")
+    several = scratch(several, "several")
+    if not several.isEmpty():
+        own = usable.join(several, "id").select("id", "n", "s1", "s2").distinct().join(classes.select("u", "n", "s1", "s2"), ["n", "s1", "s2"]).select("id", "u")
+        own = scratch(own, "own")
+        edges = edges.unionByName(own.join(own.groupBy("id").agg(F.min("u").alias("a")), "id").where("u != a").select("a", F.col("u").alias("b")))
+    label = scratch(components(edges, scratch), "label")
+    # Keys that still hold several components.
+    marked = buckets.join(label, "u", "left").select("key", "u", F.coalesce("comp", "u").alias("comp"))
     open_keys = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    marked = written(marked.join(open_keys, "key", "left_semi"), "open")
-    one, two = (marked.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("comp").alias(f"c_{i}")) for i in "ab")
-    more = one.join(two, "key").where(f"c_a != c_b and a < b and 100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b").distinct()
-    more = written(_alike(more.join(pairs, ["a", "b"], "left_anti"), classes, threshold), "more")
-    if not more.isEmpty():
-        added = written(_confirmed(more, texts, kind, threshold), "links")
-        if not added.isEmpty():
-            label = components(edges.unionByName(added))
-    members = rows.select("id", "n", "s1", "s2").join(classes.select(F.col("id").alias("rep"), "n", "s1", "s2"), ["n", "s1", "s2"], "left")
-    out = members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("comp", "rep", "id").alias("comp"))
-    for t in (buckets, pairs, marked):
-        dropped(t)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
+    members = scratch(marked.join(open_keys, "key", "left_semi").select("u", "comp").distinct(), "open")
+    if not members.isEmpty():
+        open_sets = _sets(members.select("u"), classes, texts, scratch)
+        near = _prefix_pairs(members, open_sets, threshold, scratch)
+        more = scratch(_alike(near.join(pairs, ["a", "b"], "left_anti"), classes, threshold), "more")
+        if not more.isEmpty():
+            label = scratch(components(edges.unionByName(_confirmed(more, open_sets, threshold, scratch)), scratch), "label")
+    named = classes.select("u", "id", "n", "s1", "s2").join(label, "u", "left").select("id", "n", "s1", "s2", F.coalesce("comp", "u").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("id").alias("least"))
+    members = rows.select("id", "n", "s1", "s2").join(named.join(least, "comp").select("n", "s1", "s2", "least"), ["n", "s1", "s2"], "left")
+    comp = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("least")).otherwise(F.col("id"))
+    out = written(members.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept")), "neardup")
+    scratch.close()
+    return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: one of the group's smallest id.
+
+    Of several rows with that id the smallest by their columns' hashes stays. Rows with a null id are all kept, and so are those
+    without words.
+    """
+    found = near_duplicates(docs, id_col, text_col, threshold)
+    ids = written(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept").select(F.col("doc_id").alias("_id"), "n", "kept"), "settled")
+    dropped(found)
+
+    def rows_of(chosen: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(chosen) if _few(chosen, "_id") else chosen
+        return docs.join(side, (docs[id_col] == side["_id"]) & docs[text_col].rlike(r"[^\x20\x09-\x0D]"), how)
+
+    rest = rows_of(ids.select("_id"), "left_anti")
+    again = written(ids.where("kept").select("_id"), "again")
+    if again.isEmpty():
+        return rest
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    one = rows_of(again, "left_semi").groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_row"))
+    return rest.unionByName(one.select("_row.*"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm import decontam, langid, lm, neardup, packing, quality, secrets, sharding, tokencount, toxicity
 from chunkloom.llm import textvec as tv
+from chunkloom.llm.common import Scratch
 from chunkloom.llm.queries import vocabulary_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -289,9 +290,9 @@ def test_components_by_stars(spark, monkeypatch):
     rng = np.random.default_rng(8)
     edges = [(int(a), int(a) + int(b)) for a, b in zip(rng.integers(0, 300, 220), rng.integers(1, 9, 220), strict=True)]
     d = spark.createDataFrame(edges, "a long, b long")
-    want = {(r.id, r.comp) for r in neardup.components(d).where("id <> comp").collect()}
+    want = {(r.u, r.comp) for r in neardup.components(d, Scratch()).where("u <> comp").collect()}
     monkeypatch.setattr(neardup, "FEW_ROWS", 0)
-    assert {(r.id, r.comp) for r in neardup.components(d).collect()} == want
+    assert {(r.u, r.comp) for r in neardup.components(d, Scratch()).collect()} == want
 
 
 # --- decontamination ---
