@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
-from .common import map_rows, narrow
+from .common import batch_function, map_rows, narrow
 
 
 @dataclass(frozen=True)
@@ -158,12 +158,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
-    """The documents that pass, with all their columns."""
+    """The documents that pass, with all their columns. Texts alone go to Python and one boolean for each comes back."""
 
-    def run(batches):
+    def make():
         z = zstandard.ZstdCompressor(level=bands.level)
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(_judged(b.column(b.schema.get_field_index(text_col)), bands, z)["kept"]))
+        return lambda texts: pa.array(_judged(texts, bands, z)["kept"] if len(texts) else [], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(batch_function(make, "boolean")(docs[text_col]))
