@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,17 @@ from pyspark.sql import functions as F
 _local: dict[str, str] = {}
 
 
+#: Rows in an Arrow batch. Spark's default, 10,000, is as much text as a whole split, held by the JVM and by Python at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, for queries over whole texts, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
@@ -73,6 +85,14 @@ def narrow(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[df[c].alias(k) for k, c in cols.items()])
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker process stays for other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, np.ndarray | pa.Array] | None]], schema: str) -> DataFrame:
     """mapInArrow with a function of a batch that is set up once per task and returns columns."""
     names = [x.strip().split()[0] for x in _split_schema(schema)]
@@ -84,6 +104,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[s
                 out = f(b)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
+                del out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -96,6 +118,7 @@ def batch_function(make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str
         f = make()
         for b in batches:
             yield f(b)
+        give_back()
 
     return run
 

@@ -14,7 +14,7 @@ first (by a sketch of fixed size), two sets as similar as required share one amo
 are compared, so no link is left out, and a family of texts that share a template but are not similar enough has next to none.
 Before sets are fetched, the 2 * HALVES * WIDTH minhashes, a byte of each, are compared: pairs that agree in fewer than
 AGREE of them are no candidates (at s = 0.8 a pair is lost so with probability 3e-6).
-Sets of candidates meet in groups of bounded size: those of a class with many partners are split over salts.
+Sets of candidates meet in groups of bounded size, two blocks of a family of candidates each.
 
 Defined cases: null texts, and texts without words, have an empty set and are linked with nothing, not even with other texts
 of their id; a text of one word has that word as its only shingle; a row with a null id is linked with nothing and kept; rows
@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import Scratch, binaries, dropped, lists, map_rows, narrow, written
+from .common import Scratch, binaries, dropped, give_back, lists, map_rows, narrow, written
 
 HALVES, WIDTH = 12, 2
 #: Rows and bytes of ids up to which a side is sent to all executors or to the driver; above, the same is done by shuffles.
-FEW_ROWS, FEW_BYTES = 100_000, 4 << 20
-#: Members that are compared with a copy of a class in one group.
-GROUP = 500
+FEW_ROWS, FEW_BYTES = 400_000, 16 << 20
+#: Shingles of the sets that meet in a group come from two blocks of about so many each.
+BLOCK = 1 << 20
 #: Bits of the sketch that orders shingles by the number of sets that hold them.
 RARITY_BITS = 20
 #: Of 48 minhashes, those in which the pair must agree. At another threshold than 80 percent: the same deviations below the mean.
@@ -158,36 +158,54 @@ def _sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scrat
                 use = [k for k in np.flatnonzero(digests(sh, first)[0].view(np.int64) == s1[i:j]).tolist() if own[i + k] not in seen]
                 seen.update(own[i + k] for k in use)
                 yield pa.RecordBatch.from_arrays([pa.array([own[i + k] for k in use], pa.int64()), binaries(sh, first).take(pa.array(use, pa.int64()))], names=["u", "sh"])
+        give_back()
 
     return scratch(rows.mapInArrow(run, "u long, sh binary"), "sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least threshold percent. Sets meet once per group of a and some of its partners."""
-    size = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
-    salted = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / GROUP)).cast("int").alias("salt"))
-    want = salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("u")).distinct().unionByName(salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("u")))
-    want = scratch(want, "meeting")
-    rows = sets.join(F.broadcast(want) if _few(want) else want, "u").select("a", "salt", "role", "u", "sh").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "u")
+def _confirmed(pairs: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose similarity is at least threshold percent.
+
+    Classes that candidate pairs connect are a family. Its members are in blocks of bounded size, and the sets of two blocks meet
+    where pairs lie between them: so a set is sent as often as its family has blocks, and not once for every pair.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+    family = nodes.join(components(pairs, scratch), "u", "left").select("u", F.coalesce("comp", "u").alias("family")).join(classes.select("u", "n"), "u")
+    family = scratch(family, "families")
+    blocks = family.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    placed = scratch(family.join(blocks, "family").select("u", "family", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block")), "placed")
+    one, two = placed.select(F.col("u").alias("a"), "family", F.col("block").alias("p")), placed.select(F.col("u").alias("b"), F.col("block").alias("q"))
+    lies = scratch(pairs.join(one, "a").join(two, "b").select("family", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "a", "b"), "lies")
+    want = scratch(lies.select("family", "i", "j", F.explode(F.array("a", "b")).alias("u")).distinct(), "meeting")
+    here = sets.join(F.broadcast(want) if _few(want) else want, "u").select("family", "i", "j", F.lit(0).alias("role"), F.col("u").alias("a"), F.lit(None).cast("long").alias("b"), "sh")
+    rows = here.unionByName(lies.select("family", "i", "j", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("binary").alias("sh")))
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "role", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, own = None, np.zeros(0, np.uint64)
+        group, own = None, {}
         for batch in batches:
-            a, salt, role, b = (batch.column(k).to_pylist() for k in range(4))
-            raw, off = tv.text_buffer(batch.column(4))
+            where = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            role, a, b = (batch.column(k).to_pylist() for k in range(3, 6))
+            raw, off = tv.text_buffer(batch.column(6))
             left, right = [], []
             for k in range(batch.num_rows):
-                s = raw[off[k] : off[k + 1]].view(np.uint64)
+                if group != where[k]:
+                    group, own = where[k], {}
                 if role[k] == 0:
-                    group, own = (a[k], salt[k]), s.copy()
-                elif group == (a[k], salt[k]):
-                    n, m = len(own), len(s)
-                    if n and 100 * min(n, m) >= threshold * max(n, m):
-                        both = int((own[np.minimum(np.searchsorted(own, s), n - 1)] == s).sum())
-                        if 100 * both >= threshold * (n + m - both):
-                            left.append(a[k])
-                            right.append(b[k])
+                    own[a[k]] = raw[off[k] : off[k + 1]].view(np.uint64).copy()
+                    continue
+                x, y = own.get(a[k]), own.get(b[k])
+                if x is None or y is None:
+                    raise RuntimeError("a set of a candidate pair is missing")
+                n, m = len(x), len(y)
+                if n < m:
+                    x, y = y, x
+                both = int((x[np.minimum(np.searchsorted(x, y), max(n, m) - 1)] == y).sum())
+                if 100 * both >= threshold * (n + m - both):
+                    left.append(a[k])
+                    right.append(b[k])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        give_back()
 
     return scratch(rows.mapInArrow(run, "a long, b long").distinct(), "links")
 
@@ -240,6 +258,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int, scratch:
                 use = (place < far) & (times[order] > 1)  # what one set alone has is shared by none
                 at, r = order[use], row[use]
                 yield pa.RecordBatch.from_arrays([pa.array(sh[at].view(np.int64)), pa.array(u[i:j][r]), pa.array(comp[i:j][r]), pa.array(n[r]), pa.array(place[use] < near[use])], names=["g", "u", "comp", "n", "near"])
+        give_back()
 
     rows = members.join(sets, "u").select("u", "comp", "sh").mapInArrow(run, "g long, u long, comp long, n long, near boolean")
     rows = scratch(rows.distinct(), "prefixes")
@@ -315,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = scratch(buckets.where("u != a").select("a", F.col("u").alias("b")).distinct(), "pairs")
     alike = scratch(_alike(pairs, classes, threshold), "alike")
     sets = _sets(alike.select(F.explode(F.array("a", "b")).alias("u")).distinct(), classes, texts, scratch)
-    edges = _confirmed(alike, sets, threshold, scratch)
+    edges = _confirmed(alike, sets, classes, threshold, scratch)
     # Rows of one id belong together: its classes are linked as they are.
     several = usable.groupBy("id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x != y").select("id")
     several = scratch(several, "several")
@@ -333,7 +352,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = _prefix_pairs(members, open_sets, threshold, scratch)
         more = scratch(_alike(near.join(pairs, ["a", "b"], "left_anti"), classes, threshold), "more")
         if not more.isEmpty():
-            label = scratch(components(edges.unionByName(_confirmed(more, open_sets, threshold, scratch)), scratch), "label")
+            label = scratch(components(edges.unionByName(_confirmed(more, open_sets, classes, threshold, scratch)), scratch), "label")
     named = classes.select("u", "id", "n", "s1", "s2").join(label, "u", "left").select("id", "n", "s1", "s2", F.coalesce("comp", "u").alias("comp"))
     least = named.groupBy("comp").agg(F.min("id").alias("least"))
     members = rows.select("id", "n", "s1", "s2").join(named.join(least, "comp").select("n", "s1", "s2", "least"), ["n", "s1", "s2"], "left")

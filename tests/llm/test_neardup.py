@@ -67,11 +67,11 @@ def test_ids_of_another_type(spark, pair):
     assert result(spark, rows, "string") == sorted(by_hand(rows), key=str)
 
 
-@pytest.mark.parametrize("few", [0, 100_000])
+@pytest.mark.parametrize("few", [0, 400_000])
 def test_large_groups(spark, monkeypatch, few):
-    # a star of many partners in groups of a few, chains of edits, a hot exact copy, and both ways of joining
+    # a star of many partners in blocks of a few, chains of edits, a hot exact copy, and both ways of joining
     monkeypatch.setattr(neardup, "FEW_ROWS", few)
-    monkeypatch.setattr(neardup, "GROUP", 7)
+    monkeypatch.setattr(neardup, "BLOCK", 700)
     rng = np.random.default_rng(22)
     base = [f"w{x}" for x in rng.integers(0, 1 << 30, 150)]
     rows = [(i, " ".join(edited(base, rng, 3))) for i in range(10, 70)]
