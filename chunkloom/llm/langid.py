@@ -5,11 +5,12 @@ runs of other characters count as one blank). Each language has several centroid
 varieties of it (short texts, mixed ones, capitals) have one of their own. The nearest centroid by cosine names the
 language; a text whose best cosine is below what nearly all training texts of that language have is marked as rejected.
 
-Centroids come from a bounded sample (train_rows of each language, the first by the hash of their ids); every text is then
-compared whole in one pass without a shuffle.
+Centroids come from a bounded sample: the most_langs languages with the most rows, of each at most train_rows, and in all at
+most train_total, the first by the hash of their ids; every text is then compared whole in one pass without a shuffle.
 
 Defined cases: null texts and texts without a letter get und with score 0; rows with a null language aren't learned from;
-without any training row everything is und; ties go to the language first in the alphabet; an empty table gives no rows.
+without any training row everything is und; ties go to the language first in the alphabet; texts of any length are counted
+whole; repeated rows are judged one by one; other columns, whatever their names, are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,9 +100,14 @@ def fit(tf: np.ndarray, langs: list[str], clusters: int = 4, reject_share: float
     return model
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = 600, clusters: int = 4) -> Centroids | None:
-    """Fit on at most train_rows rows of each language. The n-grams are counted on the executors."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = 600, clusters: int = 4, most_langs: int = 200, train_total: int = 12_000) -> Centroids | None:
+    """Fit on at most train_rows rows of each language, train_total in all. The n-grams are counted on the executors."""
     rows = narrow(labelled.where(labelled[lang_col].isNotNull() & labelled[text_col].isNotNull()), id=id_col, lang=lang_col)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not sizes:
+        return None
+    rows = rows.where(F.col("lang").isin([r["lang"] for r in sizes]))
+    train_rows = min(train_rows, max(1, train_total // len(sizes)))
     # Ids are ranked in two steps (within a piece of a language, then among the pieces' first) so that no task gets a whole language; texts follow by a join.
     piece = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(64))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id"))
@@ -111,7 +117,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
     def make():
         def f(b: pa.RecordBatch):
-            tf = np.minimum(counts(b.column(1)), 60000).astype(np.uint16)
+            tf = counts(b.column(1))
             return {"lang": b.column(0), "tf": pa.array([r.tobytes() for r in tf], pa.binary())}
 
         return f
@@ -119,7 +125,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     got = map_rows(texts, make, "lang string, tf binary").toArrow()
     if not got.num_rows:
         return None
-    tf = np.array([np.frombuffer(x, np.uint16) for x in got["tf"].to_pylist()], dtype=np.float32).reshape(got.num_rows, -1)
+    tf = np.array([np.frombuffer(x, np.float32) for x in got["tf"].to_pylist()], dtype=np.float32).reshape(got.num_rows, -1)
     return fit(tf, got["lang"].to_pylist(), clusters)
 
 
