@@ -4,16 +4,19 @@ Features are the distinct hashed unigrams, bigrams and one-word skip-grams of th
 after another with a rate of its own for every coordinate; the L1 term keeps most weights at exactly zero, so what is sent
 to the executors is the short list of the others.
 
-The training rows are a bounded sample of the labelled ones (of either class the first by the hash of their ids); every text is
-then scored whole, in one pass without a shuffle.
+The training rows are a bounded sample of the labelled ones (of either class the first by the hash of their ids); of their
+features only those that enough training rows have are sent to the driver. Every text is then scored whole, in one pass
+without a shuffle.
 
 Defined cases: null and empty texts have no features and get the score of the intercept alone; labelled rows with a null
-label are not learned from; of rows with the same id each is scored; without any label, or with one class only, the
-intercept alone decides (score 0.5 without labels); an empty table gives no rows.
+label are not learned from; of rows with the same id each is scored and learned from; labels of one id that differ are both
+learned; without any label, or with one class only, features count for nothing but that (score 0.5 without labels); texts of
+any length are learned and scored whole; other columns, whatever their names, are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import binaries, map_rows, narrow
+from .common import Scratch, binaries, map_rows, narrow
 
 BITS = 20
 
@@ -54,12 +57,16 @@ class Ftrl:
     train_rows: int = 4000
     least_rows: int = 6
 
+    def least(self, rows: int) -> int:
+        """Of so many training rows, those that must have a feature."""
+        return min(self.least_rows, max(1, rows // 50))
+
     def fit(self, rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Intercept, and the coordinates with a weight other than zero with their weights."""
         size, l1 = 1 << BITS, self.l1 * min(1.0, len(rows) / 5000)
         z, n = np.zeros(size + 1), np.zeros(size + 1)
         order = np.random.default_rng(11)
-        often = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=size) >= min(self.least_rows, max(1, len(rows) // 50))
+        often = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=size) >= self.least(len(rows))
         rows = [x[often[x]] for x in rows]
         for _ in range(self.epochs):
             for i in order.permutation(len(rows)):
@@ -98,7 +105,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return f
 
-    got = map_rows(narrow(docs, id=id_col, text=text_col).join(chosen, "id").select("text", F.col("y").cast("int").alias("y")), make, "x binary, y int").toArrow()
+    scratch = Scratch()
+    spark = docs.sparkSession
+    rows = scratch(map_rows(narrow(docs, id=id_col, text=text_col).join(chosen, "id").select("text", F.col("y").cast("int").alias("y")), make, "x binary, y int"), "features")
+    least = ftrl.least(rows.count())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.int64)
+        for b in batches:
+            total += np.bincount(tv.text_buffer(b.column(0))[0].view(np.int32), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["feature", "n"])
+
+    often = rows.select("x").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("feature").toArrow()["feature"].to_numpy()
+    use = np.zeros(1 << BITS, dtype=bool)
+    use[often] = True
+    shared = spark.sparkContext.broadcast(np.packbits(use))
+
+    def some():
+        use = np.unpackbits(shared.value).astype(bool)
+
+        def f(b: pa.RecordBatch):
+            raw, off = tv.text_buffer(b.column(0))
+            x = raw.view(np.int32)
+            has = use[x]
+            return {"x": binaries(x[has], np.concatenate([[0], np.cumsum(has)])[off // 4]), "y": b.column(1)}
+
+        return f
+
+    got = map_rows(rows, some, "x binary, y int").toArrow()
+    shared.destroy()
+    scratch.close()
     if not got.num_rows:
         return 0.0, np.zeros(0, np.int32), np.zeros(0, np.float32)
     return ftrl.fit([np.frombuffer(x, np.int32) for x in got["x"].to_pylist()], got["y"].to_numpy().astype(float))
