@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.reader import spread
 from . import decontam, langid, lm, neardup, packing, quality, secrets, sharding, tokencount, toxicity
-from .common import fold
+from .common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,7 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
@@ -62,27 +63,36 @@ def op5_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
 
-#: Bytes of text in a shard, at most.
-SHARD_BYTES = 64 << 20
+#: Bytes of text in a shard, at most, and shards, at least: a small table is still shared among readers.
+SHARD_BYTES, LEAST_SHARDS = 64 << 20, 32
 
 
 @query
 def op6_extendible_sharding(spark, sf_dir):
-    return sharding.shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+    return sharding.shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES, least_shards=LEAST_SHARDS)
 
 
-ORACLES["op6_extendible_sharding"] = f"""
-WITH h AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents),
+def sharding_sql(limit: int = SHARD_BYTES, least: int = LEAST_SHARDS) -> str:
+    """Every prefix of every hash, and for each row the shortest whose bytes fit. Where none does, the row is alone in an overflow
+    shard if it is over half the limit (ids are taken to be distinct there)."""
+    return f"""
+WITH h AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM documents),
+most AS (SELECT greatest(1, least({limit}, (coalesce(sum(n_bytes), 0) + {least - 1}) // {least}))::BIGINT AS most FROM h),
 sums AS (SELECT d AS depth, h >> (32 - d) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes
          FROM h, range(0, 33) r(d) GROUP BY 1, 2),
-leaf AS (SELECT h.doc_id, h.n_bytes, h.h, min(s.depth) AS depth
-         FROM h, range(0, 33) r(d) JOIN sums s ON s.depth = d AND s.prefix = h.h >> (32 - d)
-         WHERE s.shard_bytes <= {SHARD_BYTES} GROUP BY 1, 2, 3)
-SELECT l.doc_id, l.n_bytes, l.depth::INTEGER AS depth, (l.h >> (32 - l.depth))::BIGINT AS prefix, 0::BIGINT AS part, s.shard_bytes
-FROM leaf l JOIN sums s ON s.depth = l.depth AND s.prefix = l.h >> (32 - l.depth)
+leaf AS (SELECT h.doc_id, min(s.depth) AS depth
+         FROM h, range(0, 33) r(d) JOIN sums s ON s.depth = d AND s.prefix = h.h >> (32 - d), most
+         WHERE s.shard_bytes <= most GROUP BY 1)
+SELECT h.doc_id, h.n_bytes, coalesce(l.depth, 32)::INTEGER AS depth, (h.h >> (32 - coalesce(l.depth, 32)))::BIGINT AS prefix,
+       CASE WHEN l.depth IS NOT NULL THEN 0 ELSE -row_number() OVER (PARTITION BY h.h ORDER BY h.doc_id) END::BIGINT AS part,
+       CASE WHEN l.depth IS NOT NULL THEN s.shard_bytes ELSE h.n_bytes END AS shard_bytes
+FROM h LEFT JOIN leaf l USING (doc_id) LEFT JOIN sums s ON s.depth = l.depth AND s.prefix = h.h >> (32 - l.depth)
 """
 
 
+ORACLES["op6_extendible_sharding"] = sharding_sql()
+
+
 @query
 def op7_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
