@@ -10,7 +10,7 @@ A byte that no piece covers costs one token of probability exp(UNSEEN).
 
 One pass, no shuffle. Defined cases: null and empty texts have 0 tokens; words of any length are handled (those longer than
 LONG bytes one by one); repeated rows are counted one by one; of segmentations with equal scores the one with the shorter
-last piece counts; an empty table gives no rows.
+last piece counts; an empty table gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -56,17 +56,34 @@ class Trie:
                 o = np.argsort(h)
                 self.by[n] = h[o], np.array([vocab[p] for p in own])[o]
 
-    def one(self, word: bytes) -> tuple[int, float]:
-        """Tokens and score of a single word."""
+    def one(self, word: bytes, block: int = 1 << 16) -> tuple[int, float]:
+        """Tokens and score of a single word, of any length: the pieces at all places are looked up in arrays, block by block."""
+        m = np.concatenate([np.zeros(self.longest, np.uint8), np.frombuffer(word, np.uint8)])
         score, n = [0.0], [0]
-        for d in range(1, len(word) + 1):
-            best, m = score[d - 1] + UNSEEN, n[d - 1] + 1
-            for k in range(1, min(d, self.longest) + 1):
-                s = self.vocab.get(word[d - k : d])
-                if s is not None and score[d - k] + s > best:
-                    best, m = score[d - k] + s, n[d - k] + 1
-            score.append(best)
-            n.append(m)
+        for low in range(0, len(word), block):
+            ends = np.arange(low, min(low + block, len(word))) + 1
+            h = np.zeros(len(ends), dtype=np.uint64)
+            hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for k in range(1, min(len(word), self.longest) + 1):
+                h += _T[m[self.longest + ends - k]] * self.power[k - 1]
+                if k in self.by:
+                    keys, vals = self.by[k]
+                    j = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    at = np.flatnonzero((keys[j] == h) & (ends >= k))
+                    hits.append((at, np.full(len(at), k), vals[j[at]]))
+            at, size, value = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 3
+            order = np.lexsort((size, at))
+            first = np.searchsorted(at[order], np.arange(len(ends) + 1)).tolist()
+            size, value = size[order].tolist(), value[order].tolist()
+            for i in range(len(ends)):
+                d = low + i + 1
+                best, count = score[d - 1] + UNSEEN, n[d - 1] + 1
+                for x in range(first[i], first[i + 1]):
+                    s = score[d - size[x]] + value[x]
+                    if s > best:
+                        best, count = s, n[d - size[x]] + 1
+                score.append(best)
+                n.append(count)
         return n[-1], score[-1]
 
     def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
