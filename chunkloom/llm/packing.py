@@ -7,14 +7,15 @@ triple sums gives a combination that fills it exactly and of which pieces are le
 that fits goes in and the search goes on with the smaller gap. A combination is used as often as its pieces last.
 
 A piece's place follows from its rank among the pieces of its length. Ranks are counted within (length, salt) and shifted by
-the counts of the salts before, so that a length that a third of all pieces has is spread over many tasks. Texts are read
-once: the pieces, without their ids, are written to the shared folder.
+the counts of the salts before, so that a length that a third of all pieces has is spread over many tasks, and so are the copies
+of one row. Texts are read once: the pieces, without their ids, are written to the shared folder.
 
 Token ids come from a word cache: the tokenizer splits at white space in any case, so that each distinct word is encoded
 once per task and the rest is array work.
 
-Defined cases: a null text counts as empty and is the end id alone; a row that occurs twice is packed twice; an empty table
-gives no rows; a word or text of any length is encoded whole.
+Defined cases: a null text counts as empty and is the end id alone; a row that occurs twice is packed twice; pieces of equal
+length are interchangeable and take their places in no fixed order; an empty table gives no rows; a word or text of any length
+is encoded whole; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import map_rows, narrow, written
+from .common import dropped, map_rows, narrow, written
 
+#: Letters of a word that Merges encodes, at most.
+LONG = 64
 _NONBLANK = np.ones(256, dtype=bool)
 _NONBLANK[[9, 10, 13, 32]] = False
 
@@ -196,7 +199,8 @@ class WordIds:
         np.cumsum(_POINT[raw], out=points[1:])
         other = np.append(np.flatnonzero(~letter), len(raw))
         stem = np.minimum(other[np.searchsorted(other, starts)], ends)
-        simple = (stem > starts) & (points[ends] - points[stem] == ends - stem)
+        # a very long word takes as many steps as it has letters in Merges; the tokenizer itself does with fewer
+        simple = (stem > starts) & (stem - starts <= LONG) & (points[ends] - points[stem] == ends - stem)
         two = simple & (stem < ends)
         word = np.repeat(np.arange(len(starts)), 1 + two)
         tail = np.zeros(len(word), dtype=bool)
@@ -367,16 +371,17 @@ class Plan:
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, end_id: int = 1) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, id_col, text_col, max_tokens, end_id), "pieces")
+    cut = written(pieces(docs, tokenizer, id_col, text_col, max_tokens, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # by row too: neither a hot id nor copies of one row are in a single group
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # max_tokens rows at most
     key, seq, off = Plan({r["length"]: r["n"] for r in total}, max_tokens).runs()
     shared = spark.sparkContext.broadcast((key, seq, off))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1).join(shift, ["length", "salt"]).withColumn("r", F.col("r") + F.col("shift"))
+    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "row")) - 1).join(shift, ["length", "salt"]).withColumn("r", F.col("r") + F.col("shift"))
 
     def make():
         key, seq, off = shared.value
@@ -390,4 +395,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "r"), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = map_rows(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "r"), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = written(out, "packed")
+    dropped(cut)
+    shared.destroy()
+    return out
