@@ -3,20 +3,25 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept; all but the last return the
 columns of documents. run() writes each stage's result to the shared folder and reads it again for the next one, so that a
 lost executor costs no more than the stage at work.
+
+Quality rules, decontamination and the secret scan judge every row by its own text, so null and repeated ids change nothing
+there. Null and empty texts have no words and go with the quality rules. Of rows that repeat an id, whatever their texts, one
+stays as of other near duplicates; rows with a null id are linked with nothing and stay. Stages keep columns beside those of
+documents; an empty table goes through all of them and gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chunkloom.llm import decontam, neardup, packing, quality, secrets
-from chunkloom.llm.common import written
+from chunkloom.llm.common import dropped, small_batches, written
 from chunkloom.llm.queries import table, vocabulary_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the compression bands."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
@@ -48,14 +53,17 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: zstandard, learned automata and tokenizers have no SQL form; tests hold run() against brute force instead.
+#: zstandard, learned automata and tokenizers have no SQL form; tests/llm/test_pipeline.py holds run() against a version by hand.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars"))
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage{k}")
+            if before is not None:
+                dropped(before)
+            before = docs
     return docs
