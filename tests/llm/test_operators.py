@@ -172,10 +172,15 @@ def test_language_model_with_a_small_head(docs, monkeypatch):
 
 def test_model_is_normalised():
     rng = np.random.default_rng(5)
-    events = rng.integers(1, 12, (3000, 3))
-    m = lm.fit(events, np.bincount(events[:, 2], minlength=12).astype(float), epochs=1)
-    p = 10 ** m.log10(np.full(12, 3), np.full(12, 4), np.arange(12))
-    assert p.sum() == pytest.approx(1, abs=1e-4)
+    events = rng.integers(1, 60, (3000, 3))
+    m = lm.LogBilinear(np.bincount(events[:, 2], minlength=60).astype(float), near=10, far=4)
+    a, b = np.where(events[:, 0] < m.near, events[:, 0], 3), np.where(events[:, 1] < m.far, events[:, 1], 3)
+    m.learn(a, b, events[:, 2], rng)
+    m.ready()
+    m.norm = np.concatenate([m.norms(k, k + 7, block=16) for k in range(0, m.near, 7)])
+    for x, y in ((3, 4), (40, 2), (0, 0), (43, 37)):
+        p = 10 ** m.log10(np.full(60, x), np.full(60, y), np.arange(60))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
 # --- token counts ---

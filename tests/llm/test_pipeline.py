@@ -1,17 +1,92 @@
 """The pipeline against its stages by hand, and the operators' queries against their SQL."""
 
+import itertools
 import os
+import re
+import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from chunkloom.llm import queries
+from chunkloom.llm import decontam, queries, secrets
+from test_brute_force import verdict_by_hand
+from test_operators import WORD, quality_by_hand
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+def by_hand(spark, docs, items):
+    """(doc_id, piece, start, length, crc32) of what run() returns, from a list of (doc_id, text), one stage after another."""
+    # quality rules
+    docs = [(d, t) for d, t in docs for n, _, _, _, r in [quality_by_hand(t)] if n >= 10 and 100 * r <= 20 * n and verdict_by_hand(t) == "ok"]
+    stages = [len(docs)]
+    # near duplicates
+    sets = {d: set(itertools.pairwise(WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t)))) for d, t in docs}
+    comp = {d: d for d in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = comp[a], comp[b]
+            comp = {d: min(x, y) if c in (x, y) else c for d, c in comp.items()}
+    docs = [(d, t) for d, t in docs if comp[d] == d]
+    stages.append(len(docs))
+    # benchmark: every item against every whole text
+    how = decontam.Retrieval()
+    found = []
+    for text in items:
+        w = decontam.word_hashes(text)
+        found.append(decontam.Item(0, w, w[-max(3, len(w) // 5) :]))
+    docs = [(d, t) for d, t in docs if not any(x.check(decontam.word_hashes(t), how)[2] for x in found)]
+    stages.append(len(docs))
+    # secrets
+    model = secrets.learn(spark.createDataFrame(docs, "doc_id long, text string"))
+    clean = []
+    for d, t in docs:
+        spans = secrets.find(pa.array([t]), model)[0]
+        hidden = [False] * len(t)
+        for s, _, _, e, _ in spans:
+            hidden[s:e] = [True] * (e - s)
+        # spans that touch without overlapping have a mark each
+        cuts = {s for s, _, _, e, _ in spans if not any(x < s < y for x, _, _, y, _ in spans)}
+        out = []
+        for i, c in enumerate(t):
+            if hidden[i] and (i in cuts or not i or not hidden[i - 1]):
+                out.append("[SECRET]")
+            elif not hidden[i]:
+                out.append(c)
+        clean.append((d, "".join(out)))
+    # packing
+    encode = Tokenizer.from_file(queries.vocabulary_file("word_bpe_49k.json")).encode
+    rows = []
+    for d, t in clean:
+        ids = [*encode(t, add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            part = np.array(ids[k : k + 4096], "<u4")
+            rows.append((d, k // 4096, k, len(part), zlib.crc32(part.tobytes())))
+    return rows, stages, dict(clean)
+
+
+def test_run_by_hand(spark):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if decontam.word_hashes(r.text or "").size]
+    want, stages, clean = by_hand(spark, docs, items)
+    assert len(docs) > stages[0] > stages[1] > stages[2] and any("[SECRET]" in t for t in clean.values())
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    for _, own in itertools.groupby(sorted((r.sequence_id, r.offset, r.length) for r in got), key=lambda x: x[0]):
+        end = 0
+        for _, offset, length in own:
+            assert offset == end
+            end += length
+        assert end <= 4096
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) <= -(-total // 4096) + 2
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
@@ -22,7 +97,21 @@ def test_stages(spark):
         ids = now
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
-    assert ids == {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
+
+
+def test_stages_with_odd_rows(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, text, "en", None, None), (1, text, "en", None, None), (2, text + " more", None, "s", 3), (None, other, None, None, None), (None, None, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _changed string")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        none = stage(spark, docs.where("false"), SF)
+        assert none.count() == 0, name
+        docs = stage(spark, docs, SF)
+        if k < 4:
+            assert docs.columns == none.columns and docs.columns[-1] == "_changed"
+            assert sorted(str(r.doc_id) for r in docs.collect()) == (["1", "1", "2", "None"] if k == 0 else ["1", "None"]), name
+    assert {(r.doc_id, r.piece) for r in docs.collect()} == {(1, 0), (None, 0)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
