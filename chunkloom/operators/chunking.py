@@ -83,20 +83,34 @@ def _pages(blocks: Column) -> tuple[Column, Column, Column]:
     return F.coalesce(F.array_min(pages), F.lit(0)), F.coalesce(F.array_max(pages), F.lit(0)), low
 
 
-def _fixed(docs: DataFrame, keep: list[str], blocks: Column, max_tokens: Column, overlap: Column) -> DataFrame:
-    """Windows of code points. All blocks go with every window, so they are carried by reference: source_blocks is filled late."""
+def windows(text: Column, max_tokens: Column, overlap: Column) -> Column:
+    """array<struct<text, prefix>>: windows of 4 * max_tokens code points with 4 * overlap from before each; a text that fits is one.
+
+    The text is cut once, into the strides from one window's start to the next; a window is its stride and the beginning of those
+    after it, its prefix the end of those before. So the work grows with the text and not with the text times its windows.
+    """
     width, ov = max_tokens * 4, overlap * 4
     step = F.when(width > ov, width - ov).otherwise(width)
-    rows = docs.withColumn("_text", joined(blocks)).withColumn("_fits", fast_tokens("_text") <= max_tokens)
-    starts = F.when(F.col("_text") == "", F.array().cast("array<int>")).when(F.col("_fits"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.length("_text") - 1, F.lit(0)), step.cast("int")))
+    near = F.ceil(ov / step).cast("int")
+    cut = F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), step.cast("string"), F.lit("}")), F.lit(0))
+
+    def one(parts: Column) -> Column:
+        some = lambda i, n: F.array_join(F.slice(parts, i, n), "")
+        before = lambda i: some(F.greatest(i - near, F.lit(0)) + 1, F.least(i, near))
+        prefix = lambda i: F.when((i > 0) & (ov > 0), let(before(i), lambda t: F.substring(t, F.greatest(F.length(t) - ov, F.lit(0)) + 1, ov)))
+        return F.transform(parts, lambda p, i: F.struct(F.substring(some(i + 1, near + 1), F.lit(1), width).alias("text"), prefix(i).alias("prefix")))
+
+    whole = F.array(F.struct(text.alias("text"), F.lit(None).cast("string").alias("prefix")))
+    return F.when(text == "", F.slice(whole, 1, 0)).when(fast_tokens(text) <= max_tokens, whole).otherwise(let(cut, one))
+
+
+def _fixed(docs: DataFrame, keep: list[str], blocks: Column, max_tokens: Column, overlap: Column) -> DataFrame:
+    """Windows of code points. All blocks belong to every window; they are copied to it only if source_blocks is read."""
     low, high, conf = _pages(blocks)
-    rows = rows.withColumns({"_low": low, "_high": high, "_conf": conf, "_width": width, "_ov": ov}).select("*", F.posexplode(starts).alias("chunk_idx", "_start"))
-    begin = F.greatest(F.col("_start") - F.col("_ov"), F.lit(0))
-    has = ~F.col("_fits") & (F.col("_start") > 0) & (F.col("_ov") > 0)
-    prefix = F.when(has, F.substring("_text", begin + 1, F.col("_start") - begin))
-    core = F.when(F.col("_fits"), F.col("_text")).otherwise(F.substring("_text", F.col("_start") + 1, F.col("_width")))
+    rows = docs.withColumns({"_low": low, "_high": high, "_conf": conf}).select(*keep, "_low", "_high", "_conf", blocks.alias("_blocks"), F.posexplode(let(joined(blocks), lambda t: windows(t, max_tokens, overlap))).alias("chunk_idx", "_w"))
+    prefix = F.col("_w.prefix")
     return rows.select(
-        *keep, "chunk_idx", F.concat(F.lit("chunk-"), "chunk_idx").alias("id"), F.concat(F.coalesce(prefix, F.lit("")), core).alias("text"), blocks.alias("source_blocks"),
+        *keep, "chunk_idx", F.concat(F.lit("chunk-"), "chunk_idx").alias("id"), F.concat(F.coalesce(prefix, F.lit("")), F.col("_w.text")).alias("text"), F.col("_blocks").alias("source_blocks"),
         F.col("_low").alias("page_start"), F.col("_high").alias("page_end"), prefix.alias("overlap_prefix"), F.col("_conf").alias("confidence"),
     )
 

@@ -1,7 +1,7 @@
 """Vision operators: text boxes from a probability map, CTC decoding, merging of recognised boxes, table structure tokens.
 
 Decoding and merging are array expressions; connected components and table structure are Python over single images.
-Detection and recognition need model files, which are looked for and never shipped: without them a row gets an error code.
+Recognition itself is in ocr.py. Layout and table structure have no models: a row that asks for them gets an error code.
 """
 
 from __future__ import annotations
@@ -61,26 +61,42 @@ def reading_order(regions: Column) -> Column:
     return F.array_sort(regions, cmp)
 
 
+def _parts(on: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Left, top, right and bottom (exclusive) of the 4-connected parts of a mask, by their first pixel. Runs of pixels are joined, row by row."""
+    edge = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (rows, begins), ends = np.nonzero(edge > 0), np.nonzero(edge < 0)[1]
+    up = list(range(len(rows)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    first = np.searchsorted(rows, np.arange(on.shape[0] + 1)).tolist()
+    for y in range(1, on.shape[0]):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if begins[i] < ends[j] and begins[j] < ends[i]:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+            if ends[i] < ends[j]:
+                i += 1
+            else:
+                j += 1
+    boxes: dict[int, list[int]] = {}
+    for k, (y, x, e) in enumerate(zip(rows.tolist(), begins.tolist(), ends.tolist(), strict=True)):
+        box = boxes.setdefault(root(k), [x, y, e, y + 1])
+        box[:] = min(box[0], x), min(box[1], y), max(box[2], e), max(box[3], y + 1)
+    return [tuple(boxes[k]) for k in sorted(boxes)]
+
+
 def text_boxes(prob: np.ndarray, height: int, width: int, threshold: float = 0.3) -> list[dict]:
     """Boxes of the 4-connected parts of a probability map above the threshold, scaled to the image and padded."""
-    on = prob > threshold
-    seen = np.zeros_like(on)
     sy, sx = height / prob.shape[0], width / prob.shape[1]
     out = []
-    for y0, x0 in zip(*np.nonzero(on), strict=True):
-        if seen[y0, x0]:
-            continue
-        stack, ys, xs = [(y0, x0)], [], []
-        seen[y0, x0] = True
-        while stack:
-            y, x = stack.pop()
-            ys.append(y)
-            xs.append(x)
-            for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                if 0 <= v < on.shape[0] and 0 <= u < on.shape[1] and on[v, u] and not seen[v, u]:
-                    seen[v, u] = True
-                    stack.append((v, u))
-        left, top, right, low = min(xs) * sx, min(ys) * sy, (max(xs) + 1) * sx, (max(ys) + 1) * sy
+    for x0, y0, x1, y1 in _parts(prob > threshold):
+        left, top, right, low = x0 * sx, y0 * sy, x1 * sx, y1 * sy
         if (right - left) * (low - top) < 100:
             continue
         px, py = max(5 * sx, 10.0), max(5 * sy, 10.0)
@@ -96,7 +112,7 @@ def detection_input(rgb: np.ndarray) -> tuple[int, int]:
 
 def recognition_width(crop_w: int, crop_h: int) -> int:
     """Width at a height of 48, a multiple of 32 and 48 at least."""
-    return -(-max(48, round(48 * crop_w / max(1, crop_h))) // 32) * 32
+    return -(-max(48, int(48 * crop_w / max(1, crop_h))) // 32) * 32
 
 
 @dataclass
@@ -166,11 +182,6 @@ def otsl_table(tokens: list[str], contents: list[str] = ()) -> tuple[list[list[s
     return rows, list(rows[0]) if rows else None
 
 
-def load_models(folder: str) -> None:
-    """Detection and recognition models with the character list."""
-    raise DocError(E_MODEL, f"no OCR models in {folder}")
-
-
 def detect_regions(_: bytes) -> None:
     raise DocError(E_MODEL, "no layout model")
 

@@ -6,6 +6,9 @@ table joined by path; it is sent to all executors only if its size is below a bo
 
 from __future__ import annotations
 
+import json
+import logging
+import os
 import time
 from collections.abc import Iterator
 
@@ -20,6 +23,7 @@ from ..operators import chunking, render
 from ..operators.tokens import bpe_tokens
 from ..sources import reader
 
+log = logging.getLogger("chunkloom")
 #: Rows of settings that are sent to all executors, at most.
 FEW_SETTINGS = 100_000
 
@@ -36,10 +40,19 @@ def with_settings(docs: DataFrame, sidecars: DataFrame | None, settings: Setting
     return joined.withColumn("error_code", F.coalesce("error_code", F.when(F.col("s_error").isNotNull(), E_CONFIG))).withColumn("error_message", F.coalesce("error_message", "s_error")).drop("s_strategy", "s_max", "s_overlap", "s_error")
 
 
+def models_folder(path: str, settings: Settings) -> str | None:
+    """The folder that was named, else models beside the documents, else here; on a cluster one that all executors see."""
+    if settings.models:
+        return settings.models
+    place = path.removeprefix("file://")
+    own = os.path.join(place if os.path.isdir(place) else os.path.dirname(place), "models")
+    return next((os.path.abspath(x) for x in (own, "models") if os.path.isdir(x)), None)
+
+
 def parsed_documents(spark: SparkSession, path: str, settings: Settings) -> DataFrame:
     """path, ext, format_key, length, blocks, error columns and settings of every document below a path."""
-    docs = reader.parse_documents(reader.detect(reader.read_files(spark, path)))
-    # images and pages with next to no text would go to OCR; without models the parser's blocks stay
+    # images and pages with next to no text go to OCR; without models the parser's blocks stay
+    docs = reader.parse_documents(reader.detect(reader.read_files(spark, path)), models=models_folder(path, settings))
     docs = docs.withColumn("needs_vision", F.col("format_key").isin("image", "pdf") & F.coalesce(needs_vision("blocks"), F.lit(False)))
     try:
         sidecars = reader.read_sidecars(spark, path)
@@ -69,29 +82,47 @@ def file_name(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^[a-z]+:/*", ""), r"[^A-Za-z0-9._-]+", "_")
 
 
-def write(chunks: DataFrame, output: str, fmt: str) -> None:
-    """The chunks as a dataset: JSON (an array per document), JSON lines, Parquet, Markdown or compatibility elements."""
-    if fmt == "parquet":
-        render.columnar(chunks, ["path"]).write.mode("overwrite").option("compression", "snappy").parquet(output)
+def write(chunks: DataFrame, output: str, fmt: str, compat: str | None = None) -> None:
+    """The chunks as a dataset in the order of paths: JSON lines or Parquet; or a text per document: JSON (an array), Markdown or,
+    if compat is given, a JSON array of elements."""
+    log.debug("writing %s to %s", compat or fmt, output)
+    if compat is not None:
+        e = render.compat_elements(chunks, ["path"])
+        one = F.to_json(F.struct("type", "text", F.struct("page_number", file_name(F.col("path")).alias("filename")).alias("metadata")))
+        rows = e.select("path", F.struct("chunk_idx", "element_idx", one.alias("j")).alias("c")).groupBy("path").agg(F.array_sort(F.collect_list("c")).alias("c"))
+        _documents(rows.select("path", F.concat(F.lit("["), F.array_join(F.transform("c", lambda c: c["j"]), ","), F.lit("]")).alias("body")), output, ".json")
+    elif fmt == "parquet":
+        render.columnar(chunks, ["path", "chunk_idx"]).orderBy("path", "chunk_idx").drop("chunk_idx").write.mode("overwrite").option("compression", "snappy").parquet(output)
     elif fmt == "jsonl":
-        chunks.select(render.chunk_json().alias("value")).write.mode("overwrite").text(output)
+        chunks.select("path", "chunk_idx", render.chunk_json().alias("value")).orderBy("path", "chunk_idx").select("value").write.mode("overwrite").text(output)
     elif fmt == "json":
         rows = chunks.select("path", F.struct("chunk_idx", render.chunk_json(pretty=True).alias("j")).alias("c")).groupBy("path").agg(F.array_sort(F.collect_list("c")).alias("c"))
         text = F.concat(F.lit("[\n"), F.array_join(F.transform("c", lambda c: c["j"]), ",\n"), F.lit("\n]"))
         _documents(rows.select("path", text.alias("body")), output, ".json")
     elif fmt == "markdown":
         _documents(render.markdown(chunks, "path", file_name(F.col("path"))).select("path", F.col("markdown").alias("body")), output, ".md")
-    elif fmt == "compat":
-        e = render.compat_elements(chunks, ["path"])
-        one = F.to_json(F.struct("type", "text", F.struct("page_number", file_name(F.col("path")).alias("filename")).alias("metadata")))
-        rows = e.select("path", F.struct("chunk_idx", "element_idx", one.alias("j")).alias("c")).groupBy("path").agg(F.array_sort(F.collect_list("c")).alias("c"))
-        _documents(rows.select("path", F.concat(F.lit("["), F.array_join(F.transform("c", lambda c: c["j"]), ","), F.lit("]")).alias("body")), output, ".json")
     else:
         raise ValueError(f"unknown output format {fmt}")
 
 
+def on_this_machine(spark: SparkSession, output: str) -> bool:
+    """Whether tasks that write to the path write to this machine's disk: a local master and a file system of files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(output)
+    return spark.sparkContext.master.startswith("local") and path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
 def _documents(rows: DataFrame, output: str, suffix: str) -> None:
-    """A file per document, written by the tasks through a temporary name, so that a task that runs again does no harm."""
+    """A text for each document.
+
+    On one machine a file each, written through a temporary name, so that a task that runs again does no harm. On a cluster, or
+    to any other file system, a folder document=NAME each, by Spark's own writer and commit protocol: a task's machine has no
+    part in where the output is.
+    """
+    spark = rows.sparkSession
+    named = rows.select(F.concat(file_name(F.col("path")), F.lit(suffix)).alias("document"), "body")
+    if not on_this_machine(spark, output):
+        named.select("document", F.col("body").alias("value")).repartition("document").write.mode("overwrite").partitionBy("document").text(output)
+        return
     folder = output.removeprefix("file://")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,31 +134,43 @@ def _documents(rows: DataFrame, output: str, suffix: str) -> None:
         for b in batches:
             for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 part = f"{folder}/.{uuid.uuid4().hex}"
-                with open(part, "w", encoding="utf-8") as f:
-                    f.write(body)
-                os.replace(part, f"{folder}/{name}{suffix}")
+                with open(part, "w", encoding="utf-8") as out:
+                    out.write(body)
+                os.replace(part, f"{folder}/{name}")
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["written"])
 
-    rows.select(file_name(F.col("path")).alias("name"), "body").mapInArrow(run, "written long").agg(F.sum("written")).collect()
+    named.mapInArrow(run, "written long").agg(F.sum("written")).collect()
+
+
+def dump(docs: DataFrame, chunks: DataFrame, folder: str) -> None:
+    """What every step made of every document, a dataset each: how it was read, its blocks, its chunks."""
+    counts = chunks.groupBy("path").agg(F.count(F.lit(1)).alias("chunk_count"))
+    steps = docs.select("path", "format_key", "needs_vision", F.coalesce(F.size("blocks"), F.lit(0)).alias("block_count"), "error_code", "error_message").join(counts, "path", "left")
+    steps = steps.select(F.col("path").alias("input_file"), "format_key", F.col("format_key").alias("parser_routed_to"), "needs_vision", "block_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "error_code", "error_message")
+    steps.orderBy("input_file").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/format")
+    docs.where("blocks is not null").select("path", "blocks").orderBy("path").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/blocks")
+    chunks.orderBy("path", "chunk_idx").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/chunks")
 
 
 def run(spark: SparkSession, settings: Settings) -> dict:
     """Read, parse, chunk and write; the summary as a dictionary."""
     began = time.time()
+    log.info("reading %s", settings.input)
     docs = parsed_documents(spark, settings.input, settings).persist()
     chunks = to_chunks(docs, settings).persist()
     if settings.debug_output:
-        docs.select("path", "format_key", F.size("blocks").alias("block_count"), "error_code").write.mode("overwrite").json(f"{settings.debug_output}/format")
-        docs.select("path", F.to_json("blocks").alias("blocks")).write.mode("overwrite").json(f"{settings.debug_output}/blocks")
-        chunks.select("path", render.chunk_json().alias("chunk")).write.mode("overwrite").json(f"{settings.debug_output}/chunks")
-    write(chunks, settings.output, settings.format)
+        dump(docs, chunks, settings.debug_output)
+    write(chunks, settings.output, settings.format, settings.output_compat)
     out = summary(docs, chunks, settings).first().asDict()
     out["elapsed_secs"] = time.time() - began
     out["files_per_sec"] = out["succeeded"] / max(out["elapsed_secs"], 1e-9)
-    out["errors"] = [(r["path"], r["error_code"], r["error_message"]) for r in docs.where("error_code is not null").select("path", "error_code", "error_message").limit(20).collect()]
+    out["errors"] = [(r["path"], r["error_code"], r["error_message"]) for r in docs.where("error_code is not null").select("path", "error_code", "error_message").orderBy("path").limit(20).collect()]
+    for path, code, message in out["errors"]:
+        log.warning("%s %s: %s", code, path, message)
+    log.info("%d of %d documents, %d chunks", out["succeeded"], out["total_files"], out["total_chunks"])
     docs.unpersist()
     chunks.unpersist()
     if settings.debug_output:
-        spark.createDataFrame([(str(out),)], "summary string").coalesce(1).write.mode("overwrite").text(f"{settings.debug_output}/summary")
+        spark.createDataFrame([(json.dumps(out, ensure_ascii=False),)], "summary string").coalesce(1).write.mode("overwrite").text(f"{settings.debug_output}/summary")
     return out

@@ -7,10 +7,48 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
-from ..model import E_PARSE, Block, DocError
+from ..model import E_MODEL, E_PARSE, Block, DocError
 from .plain import lines, strip
 
 
+def unpredicted(raw: bytes, row: int, back: int) -> bytes:
+    """Bytes of rows that were stored as differences, each with its kind before it (PNG predictors)."""
+    out, above = bytearray(), bytes(row)
+    for at in range(0, len(raw) - 1, row + 1):
+        kind, now = raw[at], bytearray(raw[at + 1 : at + 1 + row])
+        for i in range(len(now)):
+            left = now[i - back] if i >= back else 0
+            up, corner = above[i], above[i - back] if i >= back else 0
+            if kind == 1:
+                plus = left
+            elif kind == 2:
+                plus = up
+            elif kind == 3:
+                plus = (left + up) // 2
+            elif kind == 4:
+                guess = left + up - corner
+                plus = min((left, up, corner), key=lambda x: abs(guess - x))
+            else:
+                plus = 0
+            now[i] = (now[i] + plus) & 255
+        out += now
+        above = bytes(now).ljust(row, b"\0")
+    return bytes(out)
+
+
+def dictionary(body: bytes) -> bytes:
+    """The dictionary that the bytes begin with, to its own end, if they begin with one."""
+    start = re.match(rb"\s*<<", body)
+    if not start:
+        return body
+    depth = 0
+    for m in re.finditer(rb"<<|>>", body):
+        depth += 1 if m[0] == b"<<" else -1
+        if not depth:
+            return body[: m.end()]
+    return body
+
+
 @dataclass
 class Char:
     ch: str
@@ -232,7 +270,7 @@ class Pdf:
             end = data.find(b"endobj", m.end())
             self.objects[int(m[1])] = data[m.end() : end if end >= 0 else len(data)]
         for body in list(self.objects.values()):
-            if re.search(rb"/Type\s*/ObjStm", body[:400]):
+            if re.search(rb"/Type\s*/ObjStm", body.split(b"stream", 1)[0]):
                 inner = self.stream(body)
                 n, first = (int(re.search(k + rb"\s+(\d+)", body)[1]) for k in (rb"/N", rb"/First"))
                 nums = list(map(int, inner[:first].split()[: 2 * n]))
@@ -241,19 +279,30 @@ class Pdf:
                     self.objects.setdefault(nums[2 * k], inner[first + nums[2 * k + 1] : first + stop])
 
     def stream(self, body: bytes) -> bytes:
+        """Decoded bytes of a stream object. One that can't be decoded is an error of the document: no page vanishes."""
         m = re.search(rb"stream\r?\n", body)
         if not m:
             return b""
-        raw = body[m.end() :]
-        size = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", body[: m.start()])
-        raw = raw[: int(size[1])] if size else raw[: raw.rfind(b"endstream")]
-        if b"FlateDecode" in body[: m.start()]:
+        head, raw = body[: m.start()], body[m.end() :]
+        size = re.search(rb"/Length\s+(\d+)(?!\s*\d*\s+\d+\s+R)\b", head)
+        size = int(size[1]) if size else self.number(self.ref(head, b"/Length"))
+        raw = raw[:size] if size is not None and size <= len(raw) else raw[: raw.rfind(b"endstream")]
+        if b"FlateDecode" in head or re.search(rb"/Filter\s*\[?\s*/Fl\b", head):
             try:
-                return zlib.decompressobj().decompress(raw)
-            except zlib.error:
-                return b""
+                raw = zlib.decompressobj().decompress(raw)
+            except zlib.error as e:
+                raise DocError(E_PARSE, f"damaged stream: {e}") from e
+            kind = re.search(rb"/Predictor\s+(\d+)", head)
+            if kind and int(kind[1]) >= 10:
+                value = lambda k, d: int(m[1]) if (m := re.search(k + rb"\s+(\d+)", head)) else d
+                raw = unpredicted(raw, value(rb"/Columns", 1) * value(rb"/Colors", 1) * value(rb"/BitsPerComponent", 8) // 8, max(1, value(rb"/Colors", 1) * value(rb"/BitsPerComponent", 8) // 8))
         return raw
 
+    @staticmethod
+    def number(body: bytes | None) -> int | None:
+        m = re.match(rb"\s*(\d+)", body or b"")
+        return int(m[1]) if m else None
+
     def ref(self, body: bytes, key: bytes) -> bytes | None:
         """A dictionary's value: what it refers to, or the text from the value on."""
         m = re.search(re.escape(key) + rb"(?![A-Za-z])\s*(\d+)\s+\d+\s+R", body)
@@ -281,44 +330,78 @@ class Pdf:
             visit(self.ref(r, b"/Pages"), b"")
         return out or [b for b in self.objects.values() if re.search(rb"/Type\s*/Page(?![a-zA-Z])", b)]
 
-    def fonts(self, page: bytes) -> dict[bytes, dict]:
-        res = self.ref(page, b"/Resources") or page
-        fonts = self.ref(res, b"/Font") or b""
+    def fonts(self, res: bytes) -> dict[bytes, dict]:
+        """The fonts that some resources name."""
+        fonts = dictionary(self.ref(res, b"/Font") or b"")
         out = {}
-        for name, num in re.findall(rb"(/[^\s/<>\[\]]+)\s+(\d+)\s+\d+\s+R", fonts[:4000]):
+        for name, num in re.findall(rb"(/[^\s/<>\[\]]+)\s+(\d+)\s+\d+\s+R", fonts):
             body = self.objects.get(int(num), b"")
             base = re.search(rb"/BaseFont\s*/([^\s/<>\[\]]+)", body)
-            wide = b"Identity-H" in body
-            to_text: dict[int, str] = {}
-            cmap = self.ref(body, b"/ToUnicode")
-            if cmap:
-                text = self.stream(cmap)
-                for part in re.findall(rb"beginbfchar(.*?)endbfchar", text, re.S):
-                    for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
-                        to_text[int(a, 16)] = bytes.fromhex(b.decode()).decode("utf-16-be", "replace")
-                for part in re.findall(rb"beginbfrange(.*?)endbfrange", text, re.S):
-                    for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
-                        for k in range(min(int(b, 16) - int(a, 16) + 1, 65536)):
-                            to_text[int(a, 16) + k] = chr((int(c, 16) + k) & 0x10FFFF)
-            first, widths = re.search(rb"/FirstChar\s+(\d+)", body), re.search(rb"/Widths\s*\[([^\]]*)\]", body)
+            name_of = base[1].decode("latin-1") if base else ""
+            inner = self.ref(body, b"/DescendantFonts")
+            if inner is not None and (m := re.match(rb"\s*\[\s*(\d+)\s+\d+\s+R", inner)):
+                inner = self.objects.get(int(m[1]), b"")
+            first, widths = re.search(rb"/FirstChar\s+(\d+)", body), self.ref(body, b"/Widths")
+            widths = re.match(rb"\s*\[([^\]]*)\]", widths or b"")
             sizes = {int(first[1]) + i: float(w) for i, w in enumerate(widths[1].split())} if first and widths else {}
-            out[name] = {"name": base[1].decode("latin-1") if base else "", "wide": wide, "text": to_text, "widths": sizes}
+            if inner:
+                sizes |= self.wide_widths(self.ref(inner, b"/W") or b"")
+            described = self.ref(inner or body, b"/FontDescriptor") or b""
+            weight, flags = re.search(rb"/FontWeight\s+(\d+)", described), re.search(rb"/Flags\s+(\d+)", described)
+            bold = "bold" in name_of.lower() or bool(weight and int(weight[1]) >= 600) or bool(flags and int(flags[1]) >> 18 & 1)
+            cmap = self.ref(body, b"/ToUnicode")
+            out[name] = {"name": name_of, "wide": b"/Type0" in body or b"Identity-H" in body, "text": self.to_text(self.stream(cmap)) if cmap else {}, "widths": sizes, "bold": bold}
+        return out
+
+    @staticmethod
+    def wide_widths(body: bytes) -> dict[int, float]:
+        """first [w w ...] and first last w, as a composite font lists them."""
+        out: dict[int, float] = {}
+        m = re.match(rb"\s*\[((?:[^\[\]]|\[[^\]]*\])*)\]", body)
+        for first, many, last, one in re.findall(rb"(\d+)\s*(?:\[([^\]]*)\]|(\d+)\s+([\d.]+))", m[1] if m else b""):
+            if last:
+                out |= dict.fromkeys(range(int(first), min(int(last), int(first) + 65535) + 1), float(one))
+            else:
+                out |= {int(first) + i: float(w) for i, w in enumerate(many.split())}
+        return out
+
+    @staticmethod
+    def to_text(cmap: bytes) -> dict[int, str]:
+        """Characters of codes: single ones, ranges from a first character on, ranges with a list."""
+        text = lambda h: bytes.fromhex(h.decode() + "0" * (-len(h) % 4)).decode("utf-16-be", "replace")
+        out: dict[int, str] = {}
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+            out |= {int(a, 16): text(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part)}
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+            for a, b, c, many in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[([^\]]*)\])", part):
+                low, n = int(a, 16), min(int(b, 16) - int(a, 16) + 1, 65536)
+                if c:
+                    head, last = text(c)[:-1], text(c)[-1:]
+                    out |= {low + k: head + chr((ord(last) + k) & 0xFFFFF) for k in range(n) if last}
+                else:
+                    out |= {low + k: text(h) for k, h in enumerate(re.findall(rb"<([0-9A-Fa-f]+)>", many)[:n])}
         return out
 
     def chars(self, page: bytes) -> list[Char]:
-        fonts = self.fonts(page)
-        m = re.search(rb"/Contents\s*\[([^\]]*)\]", page)
+        """Characters of a page with their places, those of forms that it draws too."""
+        inner = self.ref(page, b"/Contents")
+        m = re.search(rb"/Contents\s*\[([^\]]*)\]", page) or re.match(rb"\s*\[([^\]]*)\]", inner or b"")
         refs = re.findall(rb"(\d+)\s+\d+\s+R", m[1]) if m else re.findall(rb"/Contents\s+(\d+)\s+\d+\s+R", page)
-        data = b"\n".join(self.stream(self.objects.get(int(r), b"")) for r in refs)
         out: list[Char] = []
+        self.draw(b"\n".join(self.stream(self.objects.get(int(r), b"")) for r in refs), self.ref(page, b"/Resources") or page, [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], out, 0)
+        return out
+
+    def draw(self, data: bytes, res: bytes, ctm: list[float], out: list[Char], depth: int) -> None:
+        res = dictionary(res)
+        fonts = self.fonts(res)
+        forms = dict(re.findall(rb"(/[^\s/<>\[\]]+)\s+(\d+)\s+\d+\s+R", dictionary(self.ref(res, b"/XObject") or b"")))
         stack: list = []
-        font, size, lead, scale, space, gap, rise = {"name": "", "wide": False, "text": {}, "widths": {}}, 12.0, 0.0, 1.0, 0.0, 0.0, 0.0
+        font, size, lead, scale, space, gap, rise = {"name": "", "wide": False, "text": {}, "widths": {}, "bold": False}, 12.0, 0.0, 1.0, 0.0, 0.0, 0.0
         tm, line = [1.0, 0, 0, 1.0, 0, 0], [1.0, 0, 0, 1.0, 0, 0]
 
         def move(x: float, y: float) -> None:
             nonlocal tm, line
-            a, b, c, d, e, f = line
-            line = [a, b, c, d, x * a + y * c + e, x * b + y * d + f]
+            line = times([1.0, 0.0, 0.0, 1.0, x, y], line)
             tm = list(line)
 
         def show(s: bytes) -> None:
@@ -327,9 +410,11 @@ class Pdf:
                 code = int.from_bytes(s[k : k + step], "big")
                 ch = font["text"].get(code) or ("" if font["wide"] else bytes([code]).decode("cp1252", "ignore"))
                 width = font["widths"].get(code, 500.0) / 1000 * size
-                high = abs(size * tm[3]) or abs(size)
+                at = times(tm, ctm)
+                high = abs(size) * (at[2] ** 2 + at[3] ** 2) ** 0.5 or abs(size)
                 if ch:
-                    out.append(Char(ch, tm[4], tm[5] + rise, tm[5] + rise + high, width * abs(tm[0] or 1), high, font["name"], "bold" in font["name"].lower()))
+                    y = at[5] + rise * at[3]
+                    out.append(Char(ch, at[4], y, y + high, width * ((at[0] ** 2 + at[1] ** 2) ** 0.5 or 1), high, font["name"], font["bold"]))
                 dx = (width + gap + (space if code == 32 and step == 1 else 0)) * scale
                 tm[4] += dx * tm[0]
                 tm[5] += dx * tm[1]
@@ -339,7 +424,7 @@ class Pdf:
             if isinstance(t, tuple) or t[:1] in b"/[]<>+-.0123456789" and t not in (b"'", b'"'):
                 args.append(t)
                 continue
-            nums = [float(a) for a in args if isinstance(a, bytes) and re.fullmatch(rb"[+-]?\d*\.?\d+", a)]
+            nums = [float(a) for a in args if isinstance(a, bytes) and re.fullmatch(rb"[+-]?(?:\d+\.?\d*|\.\d+)", a)]
             try:
                 if t == b"Tf":
                     font, size = fonts.get(next(a for a in args if isinstance(a, bytes) and a[:1] == b"/"), font), nums[-1]
@@ -373,14 +458,29 @@ class Pdf:
                             show(a[0])
                         elif re.fullmatch(rb"[+-]?\d*\.?\d+", a):
                             tm[4] -= float(a) / 1000 * size * scale * tm[0]
+                elif t == b"cm":
+                    ctm = times(nums[-6:], ctm)
+                elif t == b"Do" and depth < 12:
+                    body = self.objects.get(int(forms.get(args[-1], b"-1")), b"")
+                    head = body.split(b"stream", 1)[0]
+                    if re.search(rb"/Subtype\s*/Form", head):
+                        matrix = re.search(rb"/Matrix\s*\[([^\]]*)\]", head)
+                        own = self.ref(head, b"/Resources")
+                        self.draw(self.stream(body), own if own is not None else res, times(list(map(float, matrix[1].split())), ctm) if matrix else ctm, out, depth + 1)
                 elif t == b"q":
-                    stack.append((font, size))
+                    stack.append((font, size, ctm))
                 elif t == b"Q" and stack:
-                    font, size = stack.pop()
+                    font, size, ctm = stack.pop()
             except (IndexError, StopIteration, ValueError):
                 pass
             args = []
-        return out
+
+
+def times(m: list[float], n: list[float]) -> list[float]:
+    """Product of two transformations."""
+    a, b, c, d, e, f = m
+    g, h, i, j, k, l = n  # noqa: E741
+    return [a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + l]
 
 
 def pages_to_blocks(pages: list[str]) -> list[Block]:
@@ -388,11 +488,27 @@ def pages_to_blocks(pages: list[str]) -> list[Block]:
     return [Block(classify(t), t, page=n, confidence=0.7) for n, page in enumerate(pages, 1) for t in map(strip, page.split("\n\n")) if t]
 
 
+def plain_page(chars: list[Char]) -> str:
+    """Text of a page without layout: a line where the height changes, an empty one for a step of more than two lines."""
+    out: list[str] = []
+    for i, c in enumerate(chars):
+        step = abs(c.y - chars[i - 1].y) if i else 0.0
+        if step > 0.5 * c.size:
+            out.append("\n\n" if step > 2.2 * c.size else "\n")
+        out.append(c.ch)
+    return "".join(out)
+
+
 def parse_pdf(content: bytes) -> list[Block]:
+    """Blocks by layout; where the layout of a document can't be made out, paragraphs of its pages' texts."""
     pdf = Pdf(content)
-    out: list[Block] = []
-    for n, page in enumerate(pdf.pages(), 1):
-        chars = [c for c in pdf.chars(page) if c.ch.isspace() or c.size > 0]
-        if chars:
-            out += layout(chars, n)
-    return out
+    pages = [[c for c in pdf.chars(page) if c.ch.isspace() or c.size > 0] for page in pdf.pages()]
+    try:
+        return [b for n, chars in enumerate(pages, 1) if chars for b in layout(chars, n)]
+    except (ArithmeticError, LookupError, ValueError):
+        return pages_to_blocks([plain_page(chars) for chars in pages])
+
+
+def rasterize(content: bytes, page: int, dpi: int = 300) -> bytes:
+    """An image of a page. There is no renderer among the libraries at hand, so this is an error of the document."""
+    raise DocError(E_MODEL, f"no renderer for page {page} at {dpi} dots an inch")

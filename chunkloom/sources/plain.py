@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import email
 import email.policy
@@ -26,12 +27,16 @@ def lines(text: str) -> list[str]:
     return [x[:-1] if x.endswith("\r") else x for x in out]
 
 
+#: Bytes that windows-1252 leaves open are control characters of the same number.
+codecs.register_error("latin1_control", lambda e: ("".join(map(chr, e.object[e.start : e.end])), e.end))
+
+
 def decode(content: bytes) -> tuple[str, bool]:
     """The text and whether it was UTF-8; other bytes are read as windows-1252."""
     try:
         return content.decode("utf-8-sig"), True
     except UnicodeDecodeError:
-        return "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in content), False
+        return content.decode("cp1252", "latin1_control"), False
 
 
 def paragraph_texts(text: str) -> list[str]:

@@ -7,15 +7,16 @@ job's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SIDECAR, parse_sidecar
 from ..functions import text as T
 from ..model import BLOCK, E_IO, E_PARSE, DocError
+from ..operators import ocr
 from . import html, office, pdf, plain
 
 _UNSUPPORTED = ("epub",)
@@ -53,12 +54,20 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").endswith(SIDECAR)).select("path", "length", "content")
 
 
+def zip_kind(content: Column) -> Column:
+    """Kind of office archive; null stays null, so that only archives need be sent."""
+
+    @F.arrow_udf("string")
+    def kind(batch: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else office.zip_format(c) for c in batch.to_pylist()], pa.string())
+
+    return kind(content)
+
+
 def detect(files: DataFrame) -> DataFrame:
-    """The files whose format is known by extension or first bytes, with format_key and ext."""
-    zip_kind = F.udf(lambda c: office.zip_format(bytes(c)), "string")
+    """The files whose format is known by extension or first bytes, with format_key and ext. Files are read once; bytes go to Python here for archives alone."""
     known = files.withColumn("ext", T.extension("path")).withColumn("format_key", F.coalesce(T.format_by_extension("path"), T.format_by_magic("content"))).where("format_key is not null")
-    plain_rows, archives = known.where("format_key <> 'zip'"), known.where("format_key = 'zip'")
-    return plain_rows.unionByName(archives.withColumn("format_key", zip_kind("content")))
+    return known.withColumn("format_key", F.coalesce(zip_kind(F.when(F.col("format_key") == "zip", F.col("content"))), "format_key"))
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
@@ -80,8 +89,28 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, s_strategy string, s_max int, s_overlap int, s_error string")
 
 
-def parse_documents(docs: DataFrame, document_order: bool = False) -> DataFrame:
-    """content is replaced by blocks, error_code and error_message; other columns stay."""
+def needs_ocr(blocks: list, format_key: str) -> bool:
+    """Images and documents of pages of which the parser made next to nothing (functions.text.needs_vision is the same of a column)."""
+    return format_key in ("image", "pdf") and (all(b.confidence < 0.3 for b in blocks) or sum(len(b.text.encode()) for b in blocks) < 50)
+
+
+def recognized(content: bytes, format_key: str, blocks: list, models) -> list:
+    """Blocks by OCR; the parser's where that fails or finds nothing. models: None, or what ocr.load_models gives."""
+    if models is None or not needs_ocr(blocks, format_key):
+        return blocks
+    try:
+        if format_key == "pdf":
+            content = pdf.rasterize(content, 1)
+        return ocr.process_page(content, 1, models) or blocks
+    except DocError:
+        return blocks
+
+
+def parse_documents(docs: DataFrame, document_order: bool = False, models: str | Callable[[], object] | None = None) -> DataFrame:
+    """content is replaced by blocks, error_code and error_message; other columns stay.
+
+    models: a folder with OCR models, or a function that returns them, called once in each task; without, there is no OCR.
+    """
     keep = [c for c in docs.columns if c != "content"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "content"), f"blocks array<{BLOCK}>, error_code string, error_message string"])
     block = pa.struct([
@@ -90,13 +119,17 @@ def parse_documents(docs: DataFrame, document_order: bool = False) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            loaded = models() if callable(models) else ocr.load_models(models) if models else None
+        except DocError:  # as if there were none
+            loaded = None
         for b in batches:
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             for k in range(0, b.num_rows, 64):
                 blocks, codes, messages = [], [], []
                 for content, key, ext in zip(*(col[n].slice(k, 64).to_pylist() for n in ("content", "format_key", "ext")), strict=True):
                     try:
-                        blocks.append([x.row() for x in parse(content or b"", key, ext, document_order)])
+                        blocks.append([x.row() for x in recognized(content, key, parse(content or b"", key, ext, document_order), loaded)])
                         codes.append(None)
                         messages.append(None)
                     except DocError as e:

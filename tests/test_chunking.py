@@ -94,3 +94,31 @@ def test_each_document_its_own_way(spark, docs):
         if i % 4 < 3:
             want = loop(x, ("by-structure", "by-title", "by-page")[i % 4], 20, i % 3)
             assert [got[i, k] for k in range(len(want))] == [c[0] for c in want]
+
+
+@pytest.mark.parametrize("most,overlap", [(8, 0), (8, 3), (8, 5), (8, 7), (8, 8), (8, 30), (1, 0)])
+def test_windows_by_slices(spark, most, overlap):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    texts = ["", "short", "é" * 7, "".join(rng.choice("ab\n\r\u2028😀é ") for _ in range(700)), "x" * (most * 4), "y" * (most * 4 + 1), "z" * 5 * most]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: [(w.text, w.prefix) for w in r.w] for r in df.select("i", chunking.windows(F.col("t"), F.lit(most), F.lit(overlap)).alias("w")).collect()}
+    width, ov = most * 4, overlap * 4
+    for i, t in enumerate(texts):
+        if not t or tokens(t) <= most:
+            assert got[i] == [(t, None)] * bool(t)
+            continue
+        starts = range(0, len(t), width - ov if width > ov else width)
+        assert got[i] == [(t[s : s + width], t[max(0, s - ov) : s] if s and ov else None) for s in starts]
+
+
+def test_windows_of_a_long_text_take_seconds(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(F.repeat(F.lit("0123456789 abcdefghé "), 1_000_000).alias("t"))
+    began = time.time()
+    n, size = df.select(F.explode(chunking.windows(F.col("t"), F.lit(512), F.lit(50))).alias("w")).agg(F.count("w"), F.sum(F.length("w.text"))).first()
+    assert n == -(-21_000_000 // 1848) and size > 21_000_000 and time.time() - began < 30

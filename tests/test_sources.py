@@ -163,3 +163,67 @@ def test_errors_are_rows(spark):
     docs = spark.createDataFrame([(1, bytearray(b"x"), "epub", "epub"), (2, bytearray(b"no zip"), "docx", "docx"), (3, bytearray(b"fine"), "text", "txt"), (4, None, "text", "txt")], "id int, content binary, format_key string, ext string")
     got = {r.id: r for r in reader.parse_documents(docs).collect()}
     assert [got[i].error_code for i in (1, 2, 3, 4)] == ["E1001", "E3001", None, None] and got[3].blocks[0].text == "fine" and got[4].blocks[0].text == ""
+
+
+def pdf_of(objects, root=1):
+    return b"%PDF-1.4\n" + b"".join(str(n).encode() + b" 0 obj " + body + b" endobj\n" for n, body in objects.items()) + b"trailer <</Root " + str(root).encode() + b" 0 R>>"
+
+
+def stream(data, extra=b""):
+    return b"<</Length " + str(len(data)).encode() + extra + b">> stream\n" + data + b"\nendstream"
+
+
+def test_pdf_forms_ranges_and_weights():
+    cmap = b"1 beginbfrange <0001> <0003> <0041> endbfrange 1 beginbfrange <0004> <0005> [<0058> <D83DDE00>] endbfrange 1 beginbfchar <0006> <00660069> endbfchar"
+    pad = b"".join(b"/X%d 8 0 R" % i for i in range(600))
+    got = pdf.Pdf(pdf_of({
+        1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R]/Count 1>>",
+        3: b"<</Type/Page/Parent 2 0 R/Contents [4 0 R]/Resources<</XObject<</Fm1 5 0 R>>/Font<<" + pad + b"/F1 6 0 R>>>>>>",
+        4: stream(b"q 1 0 0 1 100 50 cm BT /F1 10 Tf 5 5 Td <000100020003000400050006> Tj ET /Fm1 Do Q"),
+        5: stream(b"BT /G 20 Tf 1 2 Td (in form) Tj ET", b"/Subtype/Form/Matrix[1 0 0 1 7 0]/Resources<</Font<</G 8 0 R>>>>"),
+        6: b"<</Type/Font/Subtype/Type0/BaseFont/Any/Encoding/Identity-H/DescendantFonts[9 0 R]/ToUnicode 7 0 R>>", 7: stream(cmap),
+        8: b"<</Type/Font/BaseFont/Plain/FontDescriptor 10 0 R>>", 9: b"<</Type/Font/W[1 [300 400] 3 5 600]/FontDescriptor 11 0 R>>", 10: b"<</FontWeight 700>>", 11: b"<</Flags 4>>",
+    }))
+    (page,) = got.pages()
+    chars = got.chars(page)
+    assert "".join(c.ch for c in chars) == "ABCX😀fiin form"
+    assert (chars[0].x, chars[0].y, chars[0].width, chars[0].bold) == (105, 55, 3.0, False) and chars[1].x == 108 and chars[3].width == 6
+    assert (chars[6].ch, chars[6].x, chars[6].y, chars[6].bold) == ("i", 108, 52, True)
+
+
+def test_damaged_pdf_is_an_error_and_not_an_empty_one():
+    body = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R]/Count 1>>", 3: b"<</Type/Page/Contents 4 0 R>>", 4: stream(b"no deflated bytes", b"/Filter/FlateDecode")}
+    with pytest.raises(DocError):
+        pdf.parse_pdf(pdf_of(body))
+    with pytest.raises(DocError):
+        pdf.rasterize(b"%PDF", 1)
+
+
+def test_pdf_without_layout(monkeypatch):
+    monkeypatch.setattr(pdf, "layout", lambda *_: [][0])
+    got = pdf.parse_pdf(sample_pdf(b"BT /F1 12 Tf 50 700 Td (First part) Tj 0 -14 Td (goes on.) Tj 0 -60 Td (12) Tj ET"))
+    assert [(b.text, b.page, b.confidence) for b in got] == [("First part\ngoes on.", 1, 0.7), ("12", 1, 0.7)]
+
+
+def test_rows_of_differences():
+    rows = [bytes([10, 20, 30, 40]), bytes([11, 19, 33, 47])]
+    up = bytes([2]) + rows[0] + bytes([2]) + bytes((a - b) % 256 for a, b in zip(rows[1], rows[0], strict=True))
+    assert pdf.unpredicted(up, 4, 1) == b"".join(rows)
+
+
+def test_bytes_that_are_no_utf8():
+    text, utf8 = plain.decode(b"caf\xe9 \x80 \x81\x9d \x93q\x94")
+    assert not utf8 and text == "café € \x81\x9d “q”"
+    assert plain.decode(b"\xff" * 5_000_000)[0] == "ÿ" * 5_000_000
+
+
+def test_files_are_scanned_once(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a", "w") as z:
+        z.writestr("ppt/presentation.xml", "<x/>")
+    (tmp_path / "b.txt").write_text("x")
+    (tmp_path / "c").write_bytes(b"????")
+    got = reader.detect(reader.read_files(spark, str(tmp_path)))
+    assert sorted((r.path[-1], r.format_key) for r in got.collect()) == [("a", "pptx"), ("t", "text")]
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan binaryFile") == 1

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.model import DocError
-from chunkloom.operators import vision
+from chunkloom.operators import ocr, vision
 
 
 def test_ctc(spark):
@@ -43,6 +43,6 @@ def test_table_tokens_must_be_known():
 
 
 def test_absent_models_are_an_error():
-    for f in (lambda: vision.load_models("x"), lambda: vision.detect_regions(b""), lambda: vision.recognize_structure(b"")):
+    for f in (lambda: ocr.load_models("x"), lambda: vision.detect_regions(b""), lambda: vision.recognize_structure(b"")):
         with pytest.raises(DocError):
             f()
