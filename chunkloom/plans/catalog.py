@@ -550,3 +550,85 @@ def conversation_round_trip(spark, sf_dir):
 
 
 ORACLES["conversation_round_trip"] = f"WITH {_TURNS} SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS text, count(*)::INTEGER AS n FROM blk GROUP BY doc_id"
+
+
+# Every document as a file of a format, made of its lines and read by that format's parser.
+
+
+def file_docs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """doc_id and blocks of documents written as files of a kind; null texts have no lines."""
+    from ..sources.reader import parse_documents
+    from ..sources.writers import WRITERS, written
+
+    texts = F.filter(F.transform(T.lines(F.coalesce("text", F.lit(""))), T.trim), lambda x: x != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", texts.alias("lines")).select("doc_id", written(F.col("lines"), kind).alias("content"))
+    _, format_key, ext = WRITERS[kind]
+    return parse_documents(docs.withColumns({"format_key": F.lit(format_key), "ext": F.lit(ext)}))
+
+
+_FILE_LINES = _LINES.replace("FROM documents)", "FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
+_ONE = "(SELECT doc_id, 0::INTEGER AS idx, '' AS text, 0 AS n FROM l WHERE len(b) = 0)"
+
+
+def _file_query(kind: str, rows_sql: str) -> None:
+    """A row for each block: doc_id, idx, element_type, text, page, hierarchy, cells (all cells of a table, names first, one to a line)."""
+
+    def run(spark, sf_dir):
+        b = file_docs(spark, sf_dir, kind).select("doc_id", F.posexplode("blocks").alias("idx", "b"))
+        t = F.col("b.table_data")
+        cells = F.when(t.isNotNull(), F.array_join(F.flatten(F.concat(F.array(F.coalesce(t["headers"], F.array().cast("array<string>"))), t["rows"])), "\n"))
+        return b.select("doc_id", "idx", "b.element_type", "b.text", "b.page", F.array_join("b.hierarchy", "/").alias("hierarchy"), cells.alias("cells"))
+
+    QUERIES[f"file_{kind}"] = run
+    ORACLES[f"file_{kind}"] = f"WITH {_FILE_LINES}, n AS (SELECT doc_id, len(b)::INTEGER AS n, b FROM l) {rows_sql}"
+
+
+_NO_CELLS = "1::INTEGER AS page, {h} AS hierarchy, NULL::VARCHAR AS cells"
+_PLAIN = _NO_CELLS.format(h="''")
+
+
+def _table_sql(label: str, text: str, page: int = 1, before: int = 0) -> str:
+    line = text.replace("x", "b[i]")
+    return f"SELECT doc_id, {before}::INTEGER AS idx, 'table' AS element_type, {label} AS text, {page}::INTEGER AS page, '' AS hierarchy, 'line' || chr(10) || 'text' || coalesce((SELECT string_agg(chr(10) || i || chr(10) || {line}, '' ORDER BY i) FROM range(1, n.n + 1) r(i)), '') AS cells FROM n"
+
+
+_SHEET = "SELECT doc_id, 0::INTEGER AS idx, 'title' AS element_type, 'Lines' AS text, 1::INTEGER AS page, '' AS hierarchy, NULL::VARCHAR AS cells FROM n UNION ALL " + _table_sql("'Sheet \"Lines\": 2 columns (line, text) and ' || n || ' data rows'", "x", before=1)
+_LATIN = "regexp_replace(text, '[^\\x{0}-\\x{ff}]', '?', 'g')"
+_WINDOWS = "regexp_replace(text, '[^\\x{0}-\\x{7f}\\x{a0}-\\x{ff}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '?', 'g')"
+_EMPTY = f"UNION ALL SELECT doc_id, idx, 'narrative_text' AS element_type, text, {_PLAIN} FROM {_ONE}"
+
+_file_query("docx", f"SELECT doc_id, idx, CASE idx WHEN 0 THEN 'title' ELSE 'narrative_text' END AS element_type, text, {_NO_CELLS.format(h='''CASE idx WHEN 0 THEN 'h1' ELSE '' END''')} FROM blk")
+_file_query("pptx", f"SELECT doc_id, idx, CASE idx % 10 WHEN 0 THEN 'title' ELSE 'narrative_text' END AS element_type, text, page, '' AS hierarchy, NULL::VARCHAR AS cells FROM blk UNION ALL SELECT doc_id, idx, 'narrative_text', 'Empty presentation', {_PLAIN} FROM {_ONE}")
+_file_query("xlsx", _SHEET)
+_file_query("ods", _SHEET)
+_file_query(
+    "eml",
+    f"""SELECT doc_id, u.idx::INTEGER AS idx, u.kind AS element_type, u.x AS text, {_PLAIN} FROM n, unnest([
+ {{'idx': 0, 'kind': 'title', 'x': coalesce(nullif(trim(left(regexp_replace(coalesce(b[1], ''), '[^\\x{{0}}-\\x{{7f}}]', '?', 'g'), 60)), ''), 'none')}}, {{'idx': 1, 'kind': 'email_header', 'x': 'From: Ann <ann@example.org>'}}, {{'idx': 2, 'kind': 'email_header', 'x': 'To: bob@example.org'}},
+ {{'idx': 3, 'kind': 'email_body', 'x': CASE WHEN n.n > 1 THEN array_to_string(b[2:], chr(10)) END}}]) t(u) WHERE u.x IS NOT NULL""",
+)
+_file_query("rtf", f"SELECT doc_id, idx, 'narrative_text' AS element_type, {_LATIN} AS text, {_PLAIN} FROM blk {_EMPTY}")
+_file_query("xml", f"SELECT doc_id, idx, 'narrative_text' AS element_type, text, {_NO_CELLS.format(h="'doc/line'")} FROM blk {_EMPTY}")
+_file_query("csv", _table_sql("'Table with 2 columns (line, text) and ' || n || ' rows'", "translate(x, ',;|' || chr(9), '    ')"))
+_file_query("md", f"SELECT doc_id, idx, CASE idx WHEN 0 THEN 'title' ELSE 'list_item' END AS element_type, text, {_NO_CELLS.format(h='''CASE idx WHEN 0 THEN 'h1' ELSE '' END''')} FROM blk {_EMPTY}")
+_file_query(
+    "html",
+    f"""SELECT doc_id, 0::INTEGER AS idx, 'title' AS element_type, text, {_NO_CELLS.format(h="'h2'")} FROM blk WHERE idx = 0
+UNION ALL SELECT doc_id, (idx + 1)::INTEGER, 'narrative_text', text, {_PLAIN} FROM blk
+UNION ALL SELECT doc_id, (CASE WHEN n = 0 THEN 0 ELSE n + 1 END)::INTEGER AS idx, element_type, text, page, hierarchy, cells FROM (SELECT n.n, t.* FROM n JOIN ({_table_sql("'Table: 2 columns, ' || n || ' rows'", 'x')}) t USING (doc_id))
+UNION ALL SELECT doc_id, (n + 2)::INTEGER, 'code_block', b[1], {_PLAIN} FROM n WHERE n > 0""",
+)
+_file_query("cp1252", f"SELECT doc_id, idx, 'narrative_text' AS element_type, {_WINDOWS} AS text, {_PLAIN} FROM blk {_EMPTY}")
+_file_query("png", f"SELECT doc_id, 0::INTEGER AS idx, 'image' AS element_type, 'Image (png): ' || coalesce(list_max(list_transform(b, lambda x: length(x))), 0) || 'x' || n || ', 29 bytes — OCR not available (ONNX runtime not configured)' AS text, {_PLAIN} FROM n")
+
+
+@query
+def chunk_counts(spark, sf_dir):
+    """Chunks of every document, those without text or lines too."""
+    texts = F.filter(F.transform(T.lines("text"), T.trim), lambda x: x != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(texts, lambda x, i: block(F.lit("narrative_text"), x, F.floor(i / 10) + 1, F.lit(1.0))).alias("blocks"))
+    counts = chunking.chunk(docs, "by-structure", 512, 50).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+ORACLES["chunk_counts"] = chunk_sql(_LINES, "by-structure", 512, 50) + "SELECT d.doc_id, count(o.doc_id) AS chunks FROM documents d LEFT JOIN out o USING (doc_id) GROUP BY d.doc_id"
