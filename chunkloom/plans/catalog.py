@@ -389,6 +389,25 @@ _html_query("html_headings", "title", "h1", "h1")
 _html_query("html_list_items", "list_item", None, "li")
 
 
+# All blocks of a page. An open paragraph ends where a tag of a block begins or ends.
+_ENDS = "'(?i)(</?(?:p|div|h1|ul|ol|li|article|footer|header|nav|main|section|table|body|html)\\b)', chr(1) || '\\1', 'g'"
+_KIND_SQL = [(1, "title", "<title(?:\\s[^>]*)?>(.*?)</title>"), (2, "title", "<h1(?:\\s[^>]*)?>(.*?)</h1>"), (3, "narrative_text", "<p(?:\\s[^>]*)?>([^\\x01]*)"), (4, "list_item", "<li(?:\\s[^>]*)?>(.*?)</li>")]
+_PAGE_BLOCKS = f"""s AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g') AS h FROM pages WHERE html IS NOT NULL),
+k AS ({" UNION ALL ".join(f"SELECT page_id, {n} AS k, '{kind}' AS element_type, regexp_extract_all({f'regexp_replace(h, {_ENDS})' if n == 3 else 'h'}, '(?is){tag}', 1) AS l FROM s" for n, kind, tag in _KIND_SQL)}),
+x AS (SELECT page_id, k, element_type, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM k),
+y AS (SELECT page_id, k, pos, element_type, regexp_replace(x, '<[^>]*>|' || chr(1), '', 'g') AS x FROM x),
+z AS (SELECT page_id, k, pos, element_type, trim(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(13), ''), ' ' || chr(10) || chr(9)) AS text FROM y)"""
+ORACLES["html_blocks"] = f"WITH {_PAGE_BLOCKS} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k, pos) - 1)::INTEGER AS idx, element_type, text, 0.95::DOUBLE AS confidence FROM z WHERE text <> ''"
+
+
+@query
+def html_paragraphs(spark, sf_dir):
+    return _pages_html(spark, sf_dir).select("page_id", F.explode("blocks").alias("b")).where(F.col("b.element_type") == "narrative_text").select("page_id", F.col("b.text").alias("text"))
+
+
+ORACLES["html_paragraphs"] = f"WITH {_PAGE_BLOCKS} SELECT page_id, text FROM z WHERE k = 3 AND text <> ''"
+
+
 # Literal fixtures: the expected rows are the SQL.
 
 

@@ -1,8 +1,10 @@
-"""HTML to blocks with the standard library's tokenizer and the implied end tags of the elements that matter here."""
+"""HTML to blocks: tags by one regular expression, and the implied end tags of the elements that matter here."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from collections import defaultdict
+from html import unescape
 
 from ..model import Block
 from .plain import require_utf8, strip
@@ -21,33 +23,67 @@ class Node:
         self.tag, self.children = tag, []
 
     def text(self) -> str:
-        out, stack = [], [self]
+        own = self.children
+        if len(own) == 1 and isinstance(own[0], str):
+            return own[0]
+        out, stack = [], own[::-1]
         while stack:
             x = stack.pop()
             if isinstance(x, str):
                 out.append(x)
             else:
-                stack.extend(reversed(x.children))
+                stack.extend(x.children[::-1])
         return "".join(out)
 
-    def all(self, *tags: str) -> list[Node]:
-        """Descendants with one of the tags, in document order."""
-        out, stack = [], list(reversed(self.children))
+    def walk(self) -> list[Node]:
+        """Descendants in document order."""
+        out, stack = [], self.children[::-1]
         while stack:
             x = stack.pop()
             if not isinstance(x, str):
-                if x.tag in tags:
-                    out.append(x)
-                stack.extend(reversed(x.children))
+                out.append(x)
+                stack.extend(x.children[::-1])
         return out
 
+    def all(self, *tags: str) -> list[Node]:
+        """Descendants with one of the tags, in document order."""
+        return [x for x in self.walk() if x.tag in tags]
+
+
+#: Comments, declarations, and tags; a quote counts only after an equals sign, so that a stray one doesn't swallow the rest.
+_TAG = re.compile(r"""<!--(?:>|->|.*?--!?>|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""", re.S)
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style")}
 
-class Tree(HTMLParser):
+
+class Tree:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
 
+    def feed(self, html: str) -> None:
+        at = 0
+        while True:
+            m = _TAG.search(html, at)
+            if at < (end := m.start() if m else len(html)):
+                text = html[at:end]
+                self.open[-1].children.append(unescape(text) if "&" in text else text)
+            if m is None:
+                return
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                self.handle_endtag(tag)
+                continue
+            self.handle_starttag(tag)
+            if tag in _RAW:  # no tags are in it
+                stop = _RAW[tag].search(html, at)
+                end = stop.start() if stop else len(html)
+                if at < end:
+                    self.open[-1].children.append(html[at:end])
+                at = end
+
     def _close(self, tags: set[str], stop: set[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in stop:
@@ -56,7 +92,7 @@ class Tree(HTMLParser):
                 del self.open[i:]
                 return
 
-    def handle_starttag(self, tag, attrs):
+    def handle_starttag(self, tag: str) -> None:
         if tag in _ENDS_P:
             self._close({"p"}, _SCOPE)
         if tag in _CLOSES:
@@ -71,12 +107,9 @@ class Tree(HTMLParser):
         if tag not in _VOID:
             self.open.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
+    def handle_endtag(self, tag: str) -> None:
         if tag == "p" and not any(n.tag == "p" for n in self.open[1:]):
-            self.handle_starttag("p", [])
+            self.handle_starttag("p")
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 del self.open[i:]
@@ -84,14 +117,10 @@ class Tree(HTMLParser):
             if self.open[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                 return
 
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
-
 
 def parse_tree(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
-    tree.close()
     return tree.root
 
 
@@ -109,22 +138,26 @@ def _table(node: Node) -> Block:
     return Block("table", f"Table: {wide} columns, {len(rows)} rows", rows=rows, headers=headers)
 
 
+_KINDS = [(("title",), "title"), *(((f"h{n}",), "title") for n in range(1, 7)), (("p",), "narrative_text"), (("li",), "list_item"), (("table",), "table"), (("pre", "code"), "code_block")]
+
+
 def parse_html(content: bytes, document_order: bool = False) -> list[Block]:
     """Blocks by kind: title, headings by level, paragraphs, list items, tables, code; or in the document's order."""
     root = parse_tree(require_utf8(content))
-    kinds = [(("title",), "title"), *(((f"h{n}",), "title") for n in range(1, 7)), (("p",), "narrative_text"), (("li",), "list_item"), (("table",), "table"), (("pre", "code"), "code_block")]
-    found: list[tuple[Node, Block]] = []
-    for tags, kind in kinds:
-        for node in root.all(*tags):
+    by: dict[str, list[tuple[int, Node]]] = defaultdict(list)
+    for i, node in enumerate(root.walk()):
+        by[node.tag].append((i, node))
+    found: list[tuple[int, Block]] = []
+    for tags, kind in _KINDS:
+        for i, node in by[tags[0]] if len(tags) == 1 else sorted((x for t in tags for x in by[t]), key=lambda x: x[0]):
             if kind == "table":
-                found.append((node, _table(node)))
+                found.append((i, _table(node)))
             elif text := strip(node.text()):
-                found.append((node, Block(kind, text, confidence=0.95, hierarchy=[node.tag] if node.tag[0] == "h" else [])))
+                found.append((i, Block(kind, text, confidence=0.95, hierarchy=[node.tag] if node.tag[0] == "h" else [])))
     if document_order:
-        place = {id(n): i for i, n in enumerate(root.all(*{t for tags, _ in kinds for t in tags}))}
-        found.sort(key=lambda x: place[id(x[0])])
+        found.sort(key=lambda x: x[0])
     if not found:
-        body = (root.all("body") or [root])[0]
+        body = by["body"][0][1] if by["body"] else root
         text = strip(body.text())
         return [Block("narrative_text", text, confidence=0.95)] if text else []
     return [b for _, b in found]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,31 @@ def recognized(content: bytes, format_key: str, blocks: list, models) -> list:
         return blocks
 
 
+def block_array(docs: list[list | None]) -> pa.Array:
+    """Blocks of documents as a list column. Fields are gathered one by one: no dictionary is made for a block."""
+    blocks = [b for d in docs if d for b in d]
+    starts = lambda sizes: np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64, len(sizes)))]).astype(np.int32)
+    lists = lambda rows, flat: pa.ListArray.from_arrays(pa.array(starts([len(r) for r in rows])), flat)
+    strings = lambda rows: lists(rows, pa.array([x for r in rows for x in r], pa.string()))
+    boxes = [b.bbox or (0.0,) * 4 for b in blocks]
+    no_box = pa.array([b.bbox is None for b in blocks], pa.bool_())
+    box = pa.StructArray.from_arrays([pa.array([x[k] for x in boxes], pa.float32()) for k in range(4)], names=["x", "y", "width", "height"], mask=no_box)
+    pairs = [list(b.metadata.items()) for b in blocks]
+    meta = pa.MapArray.from_arrays(pa.array(starts([len(x) for x in pairs])), pa.array([k for x in pairs for k, _ in x], pa.string()), pa.array([v for x in pairs for _, v in x], pa.string()))
+    rows = [b.rows or [] for b in blocks]
+    cells = lists(rows, strings([r for x in rows for r in x]))
+    heads = pa.array([b.headers if b.rows is not None else None for b in blocks], pa.list_(pa.string()))
+    table = pa.StructArray.from_arrays([cells, heads], names=["rows", "headers"], mask=pa.array([b.rows is None for b in blocks], pa.bool_()))
+    flat = pa.StructArray.from_arrays(
+        [
+            pa.array([b.element_type for b in blocks], pa.string()), pa.array([b.text for b in blocks], pa.string()), box, pa.array([b.page for b in blocks], pa.int32()), pa.array([b.confidence for b in blocks], pa.float32()),
+            strings([b.hierarchy for b in blocks]), meta, table,
+        ], names=["element_type", "text", "bbox", "page", "confidence", "hierarchy", "metadata", "table_data"],
+    )
+    offsets = starts([len(d or ()) for d in docs])
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([*(d is None for d in docs), False])), flat)
+
+
 def parse_documents(docs: DataFrame, document_order: bool = False, models: str | Callable[[], object] | None = None) -> DataFrame:
     """content is replaced by blocks, error_code and error_message; other columns stay.
 
@@ -113,10 +139,6 @@ def parse_documents(docs: DataFrame, document_order: bool = False, models: str |
     """
     keep = [c for c in docs.columns if c != "content"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "content"), f"blocks array<{BLOCK}>, error_code string, error_message string"])
-    block = pa.struct([
-        ("element_type", pa.string()), ("text", pa.string()), ("bbox", pa.struct([(k, pa.float32()) for k in ("x", "y", "width", "height")])), ("page", pa.int32()), ("confidence", pa.float32()),
-        ("hierarchy", pa.list_(pa.string())), ("metadata", pa.map_(pa.string(), pa.string())), ("table_data", pa.struct([("rows", pa.list_(pa.list_(pa.string()))), ("headers", pa.list_(pa.string()))])),
-    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -129,13 +151,13 @@ def parse_documents(docs: DataFrame, document_order: bool = False, models: str |
                 blocks, codes, messages = [], [], []
                 for content, key, ext in zip(*(col[n].slice(k, 64).to_pylist() for n in ("content", "format_key", "ext")), strict=True):
                     try:
-                        blocks.append([x.row() for x in recognized(content, key, parse(content or b"", key, ext, document_order), loaded)])
+                        blocks.append(recognized(content, key, parse(content or b"", key, ext, document_order), loaded))
                         codes.append(None)
                         messages.append(None)
                     except DocError as e:
                         blocks.append(None)
                         codes.append(e.code)
                         messages.append(e.message)
-                yield pa.RecordBatch.from_arrays([*(col[n].slice(k, 64) for n in keep), pa.array(blocks, pa.list_(block)), pa.array(codes, pa.string()), pa.array(messages, pa.string())], names=[*keep, "blocks", "error_code", "error_message"])
+                yield pa.RecordBatch.from_arrays([*(col[n].slice(k, 64) for n in keep), block_array(blocks), pa.array(codes, pa.string()), pa.array(messages, pa.string())], names=[*keep, "blocks", "error_code", "error_message"])
 
     return docs.mapInArrow(run, schema)
