@@ -256,13 +256,15 @@ ORACLES["detect_extension"] = f"SELECT page_id, name, {_extension_sql('name')} A
 @query
 def detect_magic(spark, sf_dir):
     heads = ["%PDF-1.7 ", "{\\rtf1 ", "GIF89a", "<?xml version='1.0'?>", "  [1, ", "plain ", "<!DOCTYPE HTML><p>", "PK\x03\x04", "{"]
-    content = F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % len(heads) + 1).cast("int")), F.lit(" x")).cast("binary")
-    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), T.format_by_magic(content).alias("format_key"))
+    content = F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % len(heads) + 1).cast("int")), F.lit(" x "), F.coalesce("text", F.lit(""))).cast("binary")
+    docs = table(spark, sf_dir, "documents").select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), T.format_by_magic(content).alias("format_key"))
     return docs.unionByName(table(spark, sf_dir, "pages").where("html is not null").select(F.lit("p").alias("src"), F.col("page_id").alias("id"), T.format_by_magic(F.col("html").cast("binary")).alias("format_key")))
 
 
 ORACLES["detect_magic"] = """
-SELECT 'd' AS src, doc_id AS id, (['pdf', 'rtf', 'image', 'xml', 'json', NULL, 'html', 'zip', 'json'])[(doc_id % 9 + 1)::INTEGER] AS format_key FROM documents WHERE text IS NOT NULL
+SELECT 'd' AS src, doc_id AS id, CASE WHEN k IN ('pdf', 'rtf', 'image', 'zip') THEN k WHEN substr(hex(encode(h || ' x ' || coalesce(text, ''))), 16385, 1) IN ('8', '9', 'A', 'B') THEN NULL WHEN k = '' THEN NULL ELSE k END AS format_key
+FROM (SELECT *, (['pdf', 'rtf', 'image', 'xml', 'json', '', 'html', 'zip', 'json'])[(doc_id % 9 + 1)::INTEGER] AS k,
+             (['%PDF-1.7 ', '{\\rtf1 ', 'GIF89a', '<?xml version=\'\'1.0\'\'?>', '  [1, ', 'plain ', '<!DOCTYPE HTML><p>', 'PK' || chr(3) || chr(4), '{'])[(doc_id % 9 + 1)::INTEGER] AS h FROM documents)
 UNION ALL
 SELECT 'p', page_id, CASE WHEN substr(hex(encode(html)), 16385, 1) IN ('8', '9', 'A', 'B') THEN NULL WHEN contains(lower(html), '<!doctype html') OR contains(lower(html), '<html') THEN 'html' WHEN starts_with(html, '<?xml') THEN 'xml' WHEN regexp_matches(html, '^\\s*[{\\[]') THEN 'json' END FROM pages WHERE html IS NOT NULL"""
 
@@ -498,16 +500,16 @@ SELECT conv_id, page, idx, text, CASE WHEN {_MANY} = 1 AND {_FOOT} THEN 'footer'
 
 @query
 def regions_in_reading_order(spark, sf_dir):
-    """The embeddings as eight regions each: those with a confidence of 0, by y, then x."""
+    """The embeddings as sixteen regions each: those with a confidence of 0, by y, then x."""
     e = F.col("embedding")
-    boxes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(i.alias("n"), F.get(e, i * 4).alias("confidence"), F.struct(F.round(F.get(e, i * 4 + 1).cast("double"), 1).alias("y"), F.round(F.get(e, i * 4 + 2).cast("double"), 1).alias("x")).alias("bbox")))
+    boxes = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(i.alias("n"), F.get(e, i * 4).alias("confidence"), F.struct(F.round(F.get(e, i * 4 + 1).cast("double"), 1).alias("y"), F.round(F.get(e, i * 4 + 2).cast("double"), 1).alias("x")).alias("bbox")))
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", vision.reading_order(vision.confident(boxes, 0.0)).alias("r"))
     out = rows.select("vec_id", F.posexplode("r").alias("idx", "r"))
     return out.select("vec_id", "idx", F.col("r.bbox.y").alias("y"), F.col("r.bbox.x").alias("x"))
 
 
 ORACLES["regions_in_reading_order"] = """
-WITH b AS (SELECT vec_id, round(embedding[i * 4 + 2]::DOUBLE, 1) AS y, round(embedding[i * 4 + 3]::DOUBLE, 1) AS x FROM embeddings, range(0, 8) r(i) WHERE embedding[i * 4 + 1] >= 0)
+WITH b AS (SELECT vec_id, round(embedding[i * 4 + 2]::DOUBLE, 1) AS y, round(embedding[i * 4 + 3]::DOUBLE, 1) AS x FROM embeddings, range(0, 16) r(i) WHERE embedding[i * 4 + 1] >= 0)
 SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY y, x) - 1)::INTEGER AS idx, y, x FROM b"""
 
 
