@@ -275,12 +275,144 @@ def _ods_sheets(z: zipfile.ZipFile) -> list[tuple[str, list[list[str]]]]:
     return done
 
 
+def _xls_sheets(book: bytes) -> list[tuple[str, list[list[str]]]]:
+    """Sheets of the workbook stream of an old spreadsheet (BIFF8): its records, those that go on in others joined."""
+    records: list[tuple[int, int, list[bytes]]] = []
+    at = 0
+    while at + 4 <= len(book):
+        kind, size = struct.unpack_from("<HH", book, at)
+        body = book[at + 4 : at + 4 + size]
+        if kind == 0x3C and records:
+            records[-1][2].append(body)
+        else:
+            records.append((at, kind, [body]))
+        at += 4 + size
+    if not records or records[0][1] != 0x809 or struct.unpack_from("<H", records[0][2][0])[0] != 0x600:
+        raise DocError(E_PARSE, "spreadsheet: not of version 8")
+    if any(k == 0x2F for _, k, _ in records):
+        raise DocError(E_PARSE, "spreadsheet is encrypted")
+    names: list[tuple[int, str]] = []
+    shared: list[str] = []
+    custom: dict[int, bool] = {}
+    dates: list[bool] = []
+    epoch = dt.datetime(1899, 12, 30)
+    cells: dict[int, dict[tuple[int, int], str]] = {}
+    start, waiting = 0, None
+
+    def shown(x: float, xf: int) -> str:
+        return str(epoch + dt.timedelta(seconds=round(x * 86400))) if xf < len(dates) and dates[xf] else _number(repr(x))
+
+    def rk(x: int) -> float:
+        v = float(x >> 2 if x < 1 << 31 else (x >> 2) - (1 << 30)) if x & 2 else struct.unpack("<d", struct.pack("<Q", (x & 0xFFFFFFFC) << 32))[0]
+        return v / 100 if x & 1 else v
+
+    for at, kind, parts in records:
+        body = parts[0]
+        if kind == 0x809:
+            start = at
+            cells[at] = {}
+        elif kind == 0x85:
+            n, wide = body[6], body[7] & 1
+            names.append((struct.unpack_from("<I", body)[0], body[8 : 8 + n * (1 + wide)].decode("utf-16-le" if wide else "latin-1")))
+        elif kind == 0x22 and struct.unpack_from("<H", body)[0]:
+            epoch = dt.datetime(1904, 1, 1)
+        elif kind == 0x41E:
+            n, wide = struct.unpack_from("<H", body, 2)[0], body[4] & 1
+            code = body[5 : 5 + n * (1 + wide)].decode("utf-16-le" if wide else "latin-1")
+            custom[struct.unpack_from("<H", body)[0]] = bool(re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code), re.I))
+        elif kind == 0xE0:
+            k = struct.unpack_from("<H", body, 2)[0]
+            dates.append(custom.get(k, k in _DATE_IDS))
+        elif kind == 0xFC:
+            shared = _xls_strings(parts)
+        elif kind in (0xFD, 0x203, 0x27E, 0x204, 0x205, 0x06, 0xBD):
+            row, col, xf = struct.unpack_from("<HHH", body)
+            own = cells[start]
+            if kind == 0xFD:
+                own[row, col] = shared[struct.unpack_from("<I", body, 6)[0]]
+            elif kind == 0x203:
+                own[row, col] = shown(struct.unpack_from("<d", body, 6)[0], xf)
+            elif kind == 0x27E:
+                own[row, col] = shown(rk(struct.unpack_from("<I", body, 6)[0]), xf)
+            elif kind == 0x204:
+                n, wide = struct.unpack_from("<H", body, 6)[0], body[8] & 1
+                own[row, col] = body[9 : 9 + n * (1 + wide)].decode("utf-16-le" if wide else "latin-1")
+            elif kind == 0x205:
+                own[row, col] = f"#ERR:{body[6]}" if body[7] else ("true" if body[6] else "false")
+            elif kind == 0xBD:
+                for i in range((len(body) - 6) // 6):
+                    f, x = struct.unpack_from("<HI", body, 4 + 6 * i)
+                    own[row, col + i] = shown(rk(x), f)
+            elif body[12:14] != b"\xff\xff":
+                own[row, col] = shown(struct.unpack_from("<d", body, 6)[0], xf)
+            elif body[6] == 0:
+                waiting = (row, col)  # the text of a formula is in the next record
+            elif body[6] == 1:
+                own[row, col] = "true" if body[8] else "false"
+            elif body[6] == 2:
+                own[row, col] = f"#ERR:{body[8]}"
+        elif kind == 0x207 and waiting:
+            n, wide = struct.unpack_from("<H", body)[0], body[2] & 1
+            cells[start][waiting] = body[3 : 3 + n * (1 + wide)].decode("utf-16-le" if wide else "latin-1")
+            waiting = None
+    out = []
+    for place, name in names:
+        own = cells.get(place, {})
+        rows: list[list[str]] = []
+        if own:
+            (r0, r1), (c0, c1) = ((min(x), max(x)) for x in zip(*own, strict=True))
+            rows = [[own.get((r, c), "") for c in range(c0, c1 + 1)] for r in range(r0, r1 + 1)]
+        out.append((name, rows))
+    return out
+
+
+def _xls_strings(parts: list[bytes]) -> list[str]:
+    """The shared strings. One that goes on in the next record says there anew how wide its characters are."""
+    total = struct.unpack_from("<I", parts[0], 4)[0]
+    part, at, out = 0, 8, []
+
+    def take(n: int) -> bytes:
+        nonlocal part, at
+        got = b""
+        while n:
+            if at >= len(parts[part]):
+                part, at = part + 1, 0
+            more = parts[part][at : at + n]
+            got, n, at = got + more, n - len(more), at + len(more)
+        return got
+
+    for _ in range(total):
+        n, flags = struct.unpack("<HB", take(3))
+        runs = struct.unpack("<H", take(2))[0] if flags & 8 else 0
+        extra = struct.unpack("<I", take(4))[0] if flags & 4 else 0
+        wide, text = flags & 1, ""
+        while n:
+            if at >= len(parts[part]):
+                part, at = part + 1, 1
+                wide = parts[part][0] & 1
+            some = min(n, (len(parts[part]) - at) // (1 + wide))
+            text += parts[part][at : at + some * (1 + wide)].decode("utf-16-le" if wide else "latin-1")
+            at, n = at + some * (1 + wide), n - some
+        take(4 * runs + extra)
+        out.append(text)
+    return out
+
+
 def parse_sheets(content: bytes) -> list[Block]:
-    with members(content) as z:
-        try:
-            sheets = _xlsx_sheets(z) if "xl/workbook.xml" in z.namelist() else _ods_sheets(z)
-        except (KeyError, ValueError, IndexError) as e:
-            raise DocError(E_PARSE, f"spreadsheet: {e}") from e
+    try:
+        if content[:8] == MAGIC:
+            file = Compound(content)
+            book = file.stream("Workbook") or file.stream("Book")
+            if book is None:
+                raise DocError(E_PARSE, "spreadsheet: no workbook")
+            sheets = _xls_sheets(book)
+        else:
+            with members(content) as z:
+                if "xl/workbook.bin" in z.namelist():
+                    raise DocError(E_PARSE, "spreadsheet: binary parts can't be read")
+                sheets = _xlsx_sheets(z) if "xl/workbook.xml" in z.namelist() else _ods_sheets(z)
+    except (KeyError, ValueError, IndexError, struct.error) as e:
+        raise DocError(E_PARSE, f"spreadsheet: {e}") from e
     out: list[Block] = []
     for page, (name, rows) in enumerate(sheets, 1):
         out.append(Block("title", name, page=page, confidence=0.95))
@@ -290,11 +422,14 @@ def parse_sheets(content: bytes) -> list[Block]:
     return out or [Block("narrative_text", "Empty spreadsheet", confidence=0.95)]
 
 
+MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+
+
 class Compound:
     """Streams of an OLE2 compound file by name (of the root storage)."""
 
     def __init__(self, data: bytes):
-        if data[:8] != b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
+        if data[:8] != MAGIC:
             raise DocError(E_PARSE, "not a compound file")
         try:
             self._read(data)

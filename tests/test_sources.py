@@ -227,3 +227,41 @@ def test_files_are_scanned_once(spark, tmp_path):
     got = reader.detect(reader.read_files(spark, str(tmp_path)))
     assert sorted((r.path[-1], r.format_key) for r in got.collect()) == [("a", "pptx"), ("t", "text")]
     assert got._jdf.queryExecution().executedPlan().toString().count("FileScan binaryFile") == 1
+
+
+def one_stream(name, data):
+    """A compound file of one stream in ordinary sectors."""
+    data = data.ljust(4096, b"\0")
+    data += b"\0" * (-len(data) % 512)
+    n = len(data) // 512
+    entry = lambda x, kind, child, at, size: x.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBBIII", 2 * len(x) + 2, kind, 1, 0xFFFFFFFF, 0xFFFFFFFF, child) + bytes(36) + struct.pack("<IQ", at, size)
+    folder = (entry("Root Entry", 5, 1, 0xFFFFFFFE, 0) + entry(name, 2, 0xFFFFFFFF, 2, len(data))).ljust(512, b"\0")
+    fat = [0xFFFFFFFD, 0xFFFFFFFE, *range(3, n + 2), 0xFFFFFFFE]
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<IIIIIIIII", 0, 1, 1, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    return head + struct.pack("<128I", *fat, *[0xFFFFFFFF] * (128 - len(fat))) + folder + data
+
+
+def test_old_spreadsheets():
+    record = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    begin = record(0x809, struct.pack("<HHHHII", 0x600, 5, 0, 0, 0, 0))
+    text = lambda x, wide=0: struct.pack("<HB", len(x), wide) + x.encode("utf-16-le" if wide else "latin-1")
+    # the third string goes on in another record, from its second character on in wide ones
+    strings = record(0xFC, struct.pack("<II", 4, 4) + text("name") + text("café") + struct.pack("<HB", 3, 0) + b"x") + record(0x3C, b"\x01" + "漢y".encode("utf-16-le") + struct.pack("<HBH", 2, 8, 1) + b"ab" + b"rich")
+    styles = record(0x41E, struct.pack("<H", 164) + text("yyyy-mm-dd")) + record(0xE0, struct.pack("<HH", 0, 0) + bytes(16)) + record(0xE0, struct.pack("<HH", 0, 164) + bytes(16))
+    cell = lambda r, c, xf=0: struct.pack("<HHH", r, c, xf)
+    formula = lambda r, c, value: record(0x06, cell(r, c) + value + bytes(8))
+    sheet = begin + b"".join([
+        *(record(0xFD, cell(0, c) + struct.pack("<I", c)) for c in range(4)), record(0x203, cell(1, 0) + struct.pack("<d", 1.5)), record(0x27E, cell(1, 1) + struct.pack("<I", (250 << 2 | 3))), record(0x27E, cell(1, 2) + struct.pack("<i", -7 << 2 | 2)),
+        record(0x203, cell(1, 3, 1) + struct.pack("<d", 45000.5)), record(0xBD, struct.pack("<HH", 2, 0) + struct.pack("<HIHI", 0, 4 << 2 | 2, 0, 5 << 2 | 2) + struct.pack("<H", 1)), record(0x204, cell(2, 2) + text("old")), record(0x205, cell(2, 3) + b"\x01\x00"),
+        formula(3, 0, struct.pack("<d", 2.0)), formula(3, 1, b"\x00\0\0\0\0\0\xff\xff"), record(0x207, text("Ω", 1)), formula(3, 2, b"\x01\0\x00\0\0\0\xff\xff"),
+    ]) + record(0x0A, b"")
+    bounds = lambda at: record(0x85, struct.pack("<IHBB", at, 0, 5, 0) + b"First") + record(0x85, struct.pack("<IHBB", at + len(sheet), 0, 1, 1) + "Ü".encode("utf-16-le"))
+    fixed = begin + styles + strings
+    at = len(fixed) + len(bounds(0)) + 4
+    book = fixed + bounds(at) + record(0x0A, b"") + sheet + begin + record(0x0A, b"")
+    got = office.parse_sheets(one_stream("Workbook", book))
+    assert [(b.element_type, b.text, b.page) for b in got] == [("title", "First", 1), ("table", 'Sheet "First": 4 columns (name, café, x漢y, ab) and 3 data rows', 1), ("title", "Ü", 2)]
+    assert got[1].rows == [["1.5", "2.5", "-7", "2023-03-15 12:00:00"], ["4", "5", "old", "true"], ["2", "Ω", "false", ""]]
+    for bad in (one_stream("Other", book), one_stream("Workbook", b"\x09\x08\x04\x00\x00\x05\x05\x00"), one_stream("Workbook", begin + record(0x2F, b"\0\0"))):
+        with pytest.raises(DocError):
+            office.parse_sheets(bad)
