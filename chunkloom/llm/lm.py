@@ -172,7 +172,11 @@ class LogBilinear:
             x, y, good, bad = self.ctx[x_at], self.ctx[y_at], self.out[good_at], self.out[bad_at]
             q = x @ self.c1 + y @ self.c2
             g = -1 / (1 + np.exp(np.clip((q * good).sum(axis=1) + self.bias[good_at] - logp[good_at], -30, 30)))
-            m = 1 / (1 + np.exp(-np.clip(q @ bad.T + (self.bias[bad_at] - logp[bad_at]), -30, 30)))
+            m = q @ -bad.T
+            m += logp[bad_at] - self.bias[bad_at]
+            np.exp(np.minimum(m, 30, out=m), out=m)
+            m += 1
+            np.reciprocal(m, out=m)
             dq = g[:, None] * good + m @ bad
             # the last column is the bias'
             grad = np.concatenate([np.column_stack([g[:, None] * q, g]), np.column_stack([m.T @ q, m.sum(axis=0)])])
@@ -240,6 +244,11 @@ class Vocabulary:
 SLICE = 2048
 
 
+def share_of(text: str, n: int) -> Column:
+    """Which of n parts a text belongs to, by its hash; rows of one text are together. Decided before texts leave the JVM."""
+    return F.pmod(F.xxhash64(text, F.lit(61)), F.lit(n))
+
+
 def averaged(train: DataFrame, model: LogBilinear, vocabulary: Vocabulary, part: int, scratch: Scratch) -> LogBilinear:
     """The model after all tasks have learned from their texts of a part, averaged by rows."""
     spark = train.sparkSession
@@ -251,17 +260,12 @@ def averaged(train: DataFrame, model: LogBilinear, vocabulary: Vocabulary, part:
         for b in batches:
             for _, _, raw, off in tv.chunks(b.column(0)):
                 h, shape, begin = tokens(raw, off)
-                texts = text_mark(h, begin)
                 w = vocabulary.classes(h, shape)
-                x, y = model.contexts(w, shape, begin)
-                use = np.repeat(texts % np.uint64(ROUNDS) == part, np.diff(begin))
-                if not use.any():
-                    continue
-                seed = int(texts.sum())
+                seed = int(text_mark(h, begin).sum())
                 mark ^= seed
-                got = model.learn(x[use], y[use], w[use], np.random.default_rng(seed))
+                got = model.learn(*model.contexts(w, shape, begin), w, np.random.default_rng(seed))
                 times = got if times is None else [s + t for s, t in zip(times, got, strict=True)]
-                n += int(use.sum())
+                n += len(w)
         if times is None:
             return
         weights = [*times, times[1], np.full(len(model.c1), n), np.full(len(model.c2), n)]
@@ -283,7 +287,7 @@ def averaged(train: DataFrame, model: LogBilinear, vocabulary: Vocabulary, part:
         for (k, s), (n, x) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["k", "slice", "n", "x"])
 
-    models = train.select("text").mapInArrow(learn, "k int, slice int, mark long, n binary, x binary")
+    models = train.where(share_of("text", ROUNDS) == part).select("text").mapInArrow(learn, "k int, slice int, mark long, n binary, x binary")
     got = models.repartition("k", "slice").sortWithinPartitions("k", "slice", "mark").mapInArrow(add, "k int, slice int, n binary, x binary").toArrow()
     for k, s, n, x in sorted(zip(*(got[c].to_pylist() for c in ("k", "slice", "n", "x")), strict=True), key=lambda r: r[:2]):
         table = model.tables()[k]
@@ -300,6 +304,8 @@ def train_model(train: DataFrame, n: int, unigram: np.ndarray, vocabulary: Vocab
     """Fit on all texts of train, of n tokens, after a start on about start_events of them."""
     spark = train.sparkSession
     rate = min(1.0, start_events / max(1, n))
+    some = max(1, int(1 / (20 * rate)))  # one of so many texts is sent, so that a text of any length is a small part of the sample
+    rate *= some
     model = LogBilinear(unigram)
     contexts = (model.near, model.far)
 
@@ -317,7 +323,7 @@ def train_model(train: DataFrame, n: int, unigram: np.ndarray, vocabulary: Vocab
 
         return f
 
-    got = map_rows(train.select("text"), draw, "events binary").toArrow()["events"].to_pylist()
+    got = map_rows(train.where(share_of("text", some) == 0).select("text"), draw, "events binary").toArrow()["events"].to_pylist()
     events = np.frombuffer(b"".join(sorted(got)), "<i4").reshape(-1, 3)
     rng = np.random.default_rng(19)
     for _ in range(2 if len(events) else 0):

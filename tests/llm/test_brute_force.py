@@ -278,22 +278,21 @@ def test_averages_by_hand(spark, tmp_path):
     for k, own in enumerate(parts):
         spark.createDataFrame([(t,) for t in own], "text string").coalesce(1).write.parquet(str(tmp_path / f"{k}"))
     df = spark.read.parquet(*(str(tmp_path / f"{k}") for k in range(2)))
+    share = {r.text: r.s for r in df.select("text", lm.share_of("text", lm.ROUNDS).alias("s")).collect()}
     learned = 0
     for part in range(lm.ROUNDS):
         got = lm.averaged(df, lm.LogBilinear(unigram), vocabulary, part, None)
         total, weight = [0.0] * 5, [0.0] * 5
         for own in parts:
+            own = [t for t in own if share[t] == part]
+            if not own:
+                continue
             m = lm.LogBilinear(unigram)
             h, shape, begin = lm.tokens(*tv.text_buffer(pa.array(own)))
             w = vocabulary.classes(h, shape)
-            mark = lm.text_mark(h, begin)
-            use = np.repeat(mark % np.uint64(lm.ROUNDS) == part, np.diff(begin))
-            if not use.any():
-                continue
-            x, y = m.contexts(w, shape, begin)
-            times = m.learn(x[use], y[use], w[use], np.random.default_rng(int(mark.sum())))
-            learned += int(use.sum())
-            for k, (t, c) in enumerate(zip(m.tables(), [*times, times[1], np.full(lm.DIM, use.sum()), np.full(lm.DIM, use.sum())], strict=True)):
+            times = m.learn(*m.contexts(w, shape, begin), w, np.random.default_rng(int(lm.text_mark(h, begin).sum())))
+            learned += len(w)
+            for k, (t, c) in enumerate(zip(m.tables(), [*times, times[1], np.full(lm.DIM, len(w)), np.full(lm.DIM, len(w))], strict=True)):
                 total[k] = total[k] + t.reshape(len(t), -1) * c[:, None]
                 weight[k] = weight[k] + c
         for k, t in enumerate(lm.LogBilinear(unigram).tables()):
