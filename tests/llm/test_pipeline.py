@@ -100,8 +100,8 @@ def test_stages(spark):
 
 
 def test_stages_with_odd_rows(spark):
-    text = " ".join(f"word{i}" for i in range(60))
-    other = " ".join(f"other{i}" for i in range(60))
+    rng = np.random.default_rng(61)
+    text, other = (" ".join("".join(rng.choice(list("etaoinshrdlu"), 6)) for _ in range(60)) for _ in range(2))
     rows = [(1, text, "en", None, None), (1, text, "en", None, None), (2, text + " more", None, "s", 3), (None, other, None, None, None), (None, None, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
     docs = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _changed string")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
