@@ -2,8 +2,8 @@
 
 Texts are cut into passages of BLOCK words; windows of two sizes are made of neighbouring passages, so that short and long
 items both fill a good part of one. Passages and benchmark items are TF-IDF vectors over the benchmark's words (other words can't contribute to a
-similarity), with document frequencies counted over all texts. A randomised singular value decomposition, whose products
-with the passage matrix are made on the executors, gives a latent space in which every window of every text is compared
+similarity), with document frequencies counted over all texts. A singular value decomposition by subspace iteration, with the
+Gram matrix of all passages summed and multiplied on the executors, gives a latent space in which every window of every text is compared
 with every item by cosine. Above a low threshold a candidate is checked word by word: the longest common subsequence of the
 item with stretches hardly longer than it, and for paraphrases, of which less is left, the item's answer too.
 
@@ -11,8 +11,11 @@ Beside the cosine an exact bound gives candidates: a leak misses few of an item'
 rarest, it has some within a stretch's length (Bound). Every leak by the rule above meets it, whatever the sizes of corpus
 and benchmark; the cosine's threshold loses none.
 
-The space is fitted on a bounded sample (sample passages of the corpus, the first by the hash of their words, and all items);
-every window is then searched. Items have spaces in blocks of bounded size. A pass over the texts counts the words of up to
+The space is fitted on every passage of the corpus and all items. The pass that counts the words keeps the numbers of the
+benchmark's words in each passage; from these the Gram matrix is summed in whole numbers, so that the order doesn't matter, and
+the iteration goes on until the space holds no more of it. All passages together count as sample rows at most, lest the items have no part
+in the space of a large corpus; sample passages, the first by the hash of their words, say where the iteration starts, not
+where it ends. Every window is then searched. Items have spaces in blocks of bounded size. A pass over the texts counts the words of up to
 MANY_BLOCKS blocks, and one searches as many blocks as fit into Retrieval.memory, so that what is sent to the executors and
 held by the driver is bounded whatever the size of the benchmark, and small benchmarks take two passes.
 
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import Scratch, batch_function, map_rows, narrow
+from .common import Scratch, batch_function, give_back, map_rows, narrow
 
 BLOCK = 16
 #: Windows are so many neighbouring passages, powers of two.
@@ -45,13 +48,20 @@ WINDOWS = (2, 4)
 OUTSIDE = 64
 #: Blocks of items whose words are counted in one pass.
 MANY_BLOCKS = 64
+#: The Gram matrix is summed in multiples of this.
+UNIT = 2.0**-24
+#: Pairs of so many of the most common words are summed in a square, others as sorted lists of so many pairs.
+COMMON, PAIRS = 2048, 1 << 22
+#: The iteration ends when the space holds no more than this share more of the matrix than before.
+SETTLED = 1e-3
 
 
 @dataclass(frozen=True)
 class Retrieval:
     """rank: latent dimensions at least, a block of more items has one for each; cosine: least cosine of a candidate, for an item
     of which the space holds less than the share held, less in proportion; copied: share of an item's words in order that is a copy;
-    paraphrased: share that is one if the answer is there too; answer_share: share of the answer's words that must be."""
+    paraphrased: share that is one if the answer is there too; answer_share: share of the answer's words that must be; sample: rows as which all
+    passages count at most beside the items, and passages with which the space's iteration starts."""
 
     rank: int = 160
     cosine: float = 0.18
@@ -217,11 +227,9 @@ def _unit_weights(ids: np.ndarray, first: np.ndarray, idf: np.ndarray) -> np.nda
     return (idf[ids] / np.sqrt(np.maximum(square, 1e-12))[row]).astype(np.float32)
 
 
-def _product(q: np.ndarray, ids: np.ndarray, first: np.ndarray, weight: np.ndarray, square: bool) -> np.ndarray:
-    """Sum over all rows x of x (x q), or, if square, of (x q) (x q)."""
+def _product(q: np.ndarray, ids: np.ndarray, first: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sum over all rows x of x (x q)."""
     y = _rows(q, ids, weight, first)
-    if square:
-        return y.T @ y
     out = np.zeros_like(q)
     order = np.argsort(ids, kind="stable")
     terms, begin = np.unique(ids[order], return_index=True)
@@ -231,6 +239,97 @@ def _product(q: np.ndarray, ids: np.ndarray, first: np.ndarray, weight: np.ndarr
     return out
 
 
+def _pairs(ids: np.ndarray, first: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(smaller id, greater id, products of the weights in UNITs) of all pairs within a group; with the pairs in the other order a group's outer product."""
+    row = tv.row_of(first)
+    for d in range(BLOCK):
+        a = np.flatnonzero(row[d:] == row[: len(row) - d])
+        if not len(a):
+            return
+        i, j, w = ids[a], ids[a + d], weight[a].astype(np.float64) * weight[a + d]
+        if d:
+            w[i == j] *= 2
+        yield np.minimum(i, j), np.maximum(i, j), np.rint(w / UNIT).astype(np.int64)
+
+
+def _added(key: list[np.ndarray], value: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with the sums of their values."""
+    k, v = np.concatenate(key), np.concatenate(value)
+    order = np.argsort(k, kind="stable")
+    k, begin = np.unique(k[order], return_index=True)
+    return k, np.add.reduceat(v[order], begin) if len(k) else v
+
+
+def gram(passages: DataFrame, idf: np.ndarray, local: np.ndarray, scratch: Scratch) -> tuple[DataFrame, np.ndarray, int]:
+    """Sum of the outer products of all passages' unit TF-IDF vectors: its upper half in bands of rows (band, keys within it, values in
+    UNITs), the order of the words in it, the most common first, and the rows of a band.
+
+    Every task sums its passages, in memory of bounded size, and the sums are added band by band.
+    """
+    size = len(idf)
+    order = np.argsort(idf, kind="stable")
+    rank = np.empty(size, np.int32)
+    rank[order] = np.arange(size)
+    rank[idf <= 0] = -1
+    numbers = np.where(local >= 0, rank[local], -1).astype(np.int32)
+    height, square = max(1, (1 << 18) // size), min(size, COMMON)
+    spark = passages.sparkSession
+    shared = spark.sparkContext.broadcast((numbers, idf[order]))
+    kind = _number_type(len(local))
+
+    def bands(key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        band = key // (height * size)
+        cut = np.flatnonzero(np.diff(band, prepend=-1, append=-1))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([int(band[a])], pa.int32()), pa.array([(key[a:b] - band[a] * height * size).astype(np.int32).tobytes()], pa.binary()), pa.array([value[a:b].tobytes()], pa.binary())], names=["band", "keys", "sums"])
+
+    def summed(batches):
+        numbers, idf = shared.value
+        table, keys, values, held = np.zeros(square * square, np.int64), [], [], 0
+        for b in batches:
+            for ids, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                first = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64)])
+                _, ids, first = _inside(np.frombuffer(ids, kind), first, numbers)
+                for i, j, v in _pairs(ids.astype(np.int64), first, _unit_weights(ids, first, idf)):
+                    common = j < square
+                    np.add.at(table, i[common] * square + j[common], v[common])
+                    keys.append(i[~common] * size + j[~common])
+                    values.append(v[~common])
+                    held += len(keys[-1])
+                if held > PAIRS:
+                    k, v = _added(keys, values)
+                    keys, values, held = [k], [v], len(k)
+                    if held > PAIRS // 2:
+                        yield from bands(k, v)
+                        keys, values, held = [], [], 0
+        at = np.flatnonzero(table)
+        yield from bands(*_added([*keys, at // square * size + at % square], [*values, table[at]]))
+        del table
+        give_back()
+
+    def joined(batches):
+        now, key, value = None, [], []
+        for b in batches:
+            for band, k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if band != now and key:
+                    yield from bands(*_added(key, value))
+                    key, value = [], []
+                now = band
+                key.append(np.frombuffer(k, np.int32) + np.int64(band) * height * size)
+                value.append(np.frombuffer(v, np.int64))
+                if len(key) > 64:
+                    key, value = ([x] for x in _added(key, value))
+        if key:
+            yield from bands(*_added(key, value))
+
+    schema = "band int, keys binary, sums binary"
+    parts = passages.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(summed, schema)
+    parts = parts.repartition(max(8, size // 1024), "band").sortWithinPartitions("band")
+    out = scratch(parts.mapInArrow(joined, schema), "gram")
+    shared.destroy()
+    return out, order, height
+
+
 def _passages(raw: np.ndarray, off: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarray, ...]:
     """All words, each text's first; vocabulary numbers of those that have one and their places, each passage's first of these, each text's first passage, and each passage's number of words."""
     _, _, h, first = tv.words(raw, off, word_byte=tv.ALNUM)
@@ -258,17 +357,28 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return uniq, np.bincount(back, weights=a, minlength=len(uniq)).astype(np.int64), np.bincount(back, weights=b, minlength=len(uniq)).astype(np.int64)
 
 
-def _statistics(texts: DataFrame, vocab: np.ndarray, how: Retrieval, scratch: Scratch) -> tuple[np.ndarray, int, float, DataFrame]:
-    """Document frequency of every vocabulary word over all texts, the mean squared weight of an occurrence of any other word,
-    the number of texts, and the sampled passages. The mean is that of the words with one hash in OUTSIDE, counted in all texts."""
-    per_task = how.sample
+def _number_type(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.int32
+
+
+def _statistics(texts: DataFrame, vocab: np.ndarray, how: Retrieval, scratch: Scratch) -> tuple[np.ndarray, int, float, DataFrame, DataFrame]:
+    """Document frequency of every vocabulary word over all texts, the number of texts, the mean squared weight of an occurrence
+    of any other word, the passages to start with, and all passages: the numbers of their words, and how many each has, a row
+    for many passages. The mean is that of the words with one hash in OUTSIDE, counted in all texts."""
+    per_task, kind = how.sample, _number_type(len(vocab))
+    schema = "term int, n long, ids binary, word long, times long, passages binary, sizes binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         df, n, kept, others = np.zeros(len(vocab), np.int64), 0, [], []
         for b in batches:
+            every, sizes = [], []
             for _, _, raw, off in tv.chunks(b.column(0)):
                 h, wfirst, ids, place, first, blocks, _ = _passages(raw, off, vocab)
                 n += len(off) - 1
+                long = np.diff(first)
+                every.append(ids.astype(kind).tobytes())
+                sizes.append(long[long > 0].astype(np.uint8).tobytes())
                 text_first = first[blocks]
                 key = np.unique(np.repeat(np.arange(len(off) - 1), np.diff(text_first)) * len(vocab) + ids)
                 df += np.bincount(key % len(vocab), minlength=len(vocab))
@@ -280,10 +390,12 @@ def _statistics(texts: DataFrame, vocab: np.ndarray, how: Retrieval, scratch: Sc
                 if len(others) > 64:
                     others = [_summed(others)]
                 mark = tv.mix(tv.sums(tv.mix(ids.astype(np.uint64)).view(np.int64) >> 16, first).view(np.uint64))
-                some = np.flatnonzero(np.diff(first) >= 4)
+                some = np.flatnonzero(long >= 4)
                 some = some[np.argsort(mark[some])[:per_task]]
                 kept += [(int(mark[i] >> np.uint64(1)), ids[first[i] : first[i + 1]].tobytes()) for i in some]
             kept = sorted(set(kept))[:per_task]
+            none = [None] * len(every)
+            yield pa.RecordBatch.from_arrays([pa.array([-4] * len(every), pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(every, pa.binary()), pa.array(sizes, pa.binary())], names=names)
         at = np.flatnonzero(df)
         k, m = len(at), len(kept)
         w, docs, times = _summed(others)
@@ -291,12 +403,13 @@ def _statistics(texts: DataFrame, vocab: np.ndarray, how: Retrieval, scratch: Sc
             [
                 pa.array([*at.tolist(), *[-1] * m, -2, *[-3] * len(w)], pa.int32()), pa.array([*df[at].tolist(), *[x for x, _ in kept], n, *docs.tolist()], pa.int64()), pa.array([None] * k + [x for _, x in kept] + [None] * (1 + len(w)), pa.binary()),
                 pa.array([None] * (k + m + 1) + w.view(np.int64).tolist(), pa.int64()), pa.array([None] * (k + m + 1) + times.tolist(), pa.int64()),
-            ], names=["term", "n", "ids", "word", "times"],
+                *[pa.nulls(k + m + 1 + len(w), pa.binary())] * 2,
+            ], names=names,
         )
 
-    got = scratch(texts.select("text").mapInArrow(run, "term int, n long, ids binary, word long, times long"), "statistics")
+    got = scratch(texts.select("text").mapInArrow(run, schema), "statistics")
     df, n = np.zeros(len(vocab), np.int64), 0
-    for r in got.where("term not in (-1, -3)").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+    for r in got.where("term not in (-1, -3, -4)").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pylist():
         if r["term"] < 0:
             n = r["n"]
         else:
@@ -304,47 +417,66 @@ def _statistics(texts: DataFrame, vocab: np.ndarray, how: Retrieval, scratch: Sc
     words = got.where("term = -3").groupBy("word").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
     weight = F.pow(F.greatest(F.lit(0.0), F.log((F.lit(n + 0.5) - F.col("n")) / (F.col("n") + 0.5))), F.lit(2 * how.power))
     outside = words.agg(F.sum(F.col("times") * weight) / F.sum("times")).first()[0]
-    return df, n, float(how.weights(np.zeros(1), n)[0]) ** 2 if outside is None else outside, got.where("term = -1").select("n", "ids").distinct().orderBy("n", "ids").limit(how.sample)
+    start = got.where("term = -1").select("n", "ids").distinct().orderBy("n", "ids").limit(how.sample)
+    return df, n, float(how.weights(np.zeros(1), n)[0]) ** 2 if outside is None else outside, start, got.where("term = -4").select("passages", "sizes")
 
 
-def latent_space(passages: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, item_weight: float, local: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """Right singular vectors (words by rank) of the matrix whose rows are the unit TF-IDF vectors of passages and items.
+def latent_space(passages: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, item_weight: float, local: np.ndarray, start: list[np.ndarray], most: int, scratch: Scratch) -> np.ndarray:
+    """Right singular vectors (words by rank) of the matrix whose rows are the unit TF-IDF vectors of all passages and items.
 
-    local: numbers of the passages' words here, -1 for words that don't count.
+    local: numbers of the passages' words here, -1 for words that don't count; start: some passages, for the first step; most: rows
+    as which all passages count at most.
 
-    Randomised: products of the matrix and its transpose with a thin matrix are summed over the passages' partitions.
+    By subspace iteration: products of the Gram matrix with a thin matrix, a band of rows at a time on the executors.
     """
-    spark = passages.sparkSession
-    wide = min(rank + 12, len(idf))
+    spark, size = passages.sparkSession, len(idf)
+    wide = min(rank + 12, size)
     flat, first = np.concatenate(items), np.concatenate([[0], np.cumsum([len(x) for x in items])])
     item_weights = _unit_weights(flat, first, idf) * np.float32(item_weight)
+    table, order, height = gram(passages, idf, local, scratch)
 
-    def product(q: np.ndarray, square: bool) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((q, idf, local))
+    def product(q: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(q[order])
 
         def run(batches):
-            q, idf, local = shared.value
-            total = None
+            q, total, trace = shared.value, None, 0.0
             for b in batches:
-                ids = [np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()]
-                if ids:
-                    f = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                    _, ids, f = _inside(np.concatenate(ids), f, local)
-                    p = _product(q, ids, f, _unit_weights(ids, f, idf), square)
-                    total = p if total is None else total + p
+                for band, keys, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    if total is None:
+                        total = np.zeros(q.shape, np.float64)
+                    low, high = band * height, min(size, (band + 1) * height)
+                    part = np.zeros((high - low, size), np.float32)
+                    part.reshape(-1)[np.frombuffer(keys, np.int32)] = np.frombuffer(sums, np.int64) * UNIT
+                    total[low:high] += part @ q
+                    diagonal = np.arange(high - low), np.arange(low, high)
+                    trace += float(part[diagonal].sum(dtype=np.float64))
+                    part[diagonal] = 0
+                    total += part.T @ q[low:high]
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part"])
-
-        got = _product(q, flat, first, item_weights, square).astype(np.float64)
-        for x in passages.select("ids").mapInArrow(run, "part binary").toArrow()["part"].to_pylist():
-            got += np.frombuffer(x, np.float32).reshape(got.shape)
-        shared.destroy()
-        return got
-
-    q = np.random.default_rng(41).standard_normal((len(idf), wide)).astype(np.float32)
-    for _ in range(rounds):
-        q = np.linalg.qr(product(q, False))[0].astype(np.float32)
-    values, turn = np.linalg.eigh(product(q, True))
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([trace])], names=["part", "trace"])
+
+        got, passages = np.zeros(q.shape), 0.0
+        parts = table.mapInArrow(run, "part binary, trace double").toArrow()
+        for x, t in zip(parts["part"].to_pylist(), parts["trace"].to_pylist(), strict=True):
+            got[order] += np.frombuffer(x, np.float32).reshape(q.shape)
+            passages += t  # each has length 1
+        return got * min(1.0, most / max(passages, 1.0)) + _product(q, flat, first, item_weights)
+
+    q = np.random.default_rng(41).standard_normal((size, wide)).astype(np.float32)
+    begin = _product(q, flat, first, item_weights)
+    if start:
+        _, ids, f = _inside(np.concatenate(start), np.concatenate([[0], np.cumsum([len(x) for x in start])]), local)
+        begin += _product(q, ids, f, _unit_weights(ids, f, idf))
+    q, held = np.linalg.qr(begin)[0].astype(np.float32), 0.0
+    while True:
+        got = product(q)
+        inner = q.T @ got
+        now = float(np.trace(inner))
+        if now <= held * (1 + SETTLED):
+            break
+        held = now
+        q = np.linalg.qr(got)[0].astype(np.float32)
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
     return (q @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
@@ -484,8 +616,8 @@ def searches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
             continue
         scratch = Scratch()
         vocab = np.unique(np.concatenate([x.words for items in by.values() for x in items]))
-        df, total, outside, sample = _statistics(texts, vocab, how, scratch)
-        passages = scratch(sample.repartition(8), "passages")
+        df, total, outside, some, passages = _statistics(texts, vocab, how, scratch)
+        start = [np.frombuffer(x, np.int32) for x in some.toArrow()["ids"].to_pylist()]
         weights = how.weights(df, total)
         search = Search([], vocab, weights.astype(np.float64) ** 2, outside, how)
         for items in by.values():
@@ -494,7 +626,7 @@ def searches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
             local = np.full(len(vocab), -1, np.int32)
             local[at] = np.arange(len(own))
             ids, idf = [np.searchsorted(own, x.words).astype(np.int32) for x in items], weights[at]
-            space = latent_space(passages, ids, idf, how.dimensions(len(items), len(own)), how.item_weight, local)
+            space = latent_space(passages, ids, idf, how.dimensions(len(items), len(own)), how.item_weight, local, start, how.sample, scratch)
             table, held = projected(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])]), idf, space)
             block = Block(items, local, table, (how.cosine * np.minimum(1.0, held / how.held)).astype(np.float32), Bound(items, own, df[at], how))
             if search.blocks and sum(x.bytes() for x in search.blocks) + block.bytes() > how.memory:

@@ -84,3 +84,32 @@ def test_the_sample_does_not_depend_on_partitions(spark):
     how = decontam.Retrieval(sample=200)
     got = [decontam._statistics(docs.repartition(n), vocab, how, decontam.Scratch())[3].collect() for n in (1, 7)]
     assert got[0] == got[1] and len(got[0]) == 200
+
+
+def test_the_space_is_that_of_all_passages(spark, monkeypatch):
+    # many more passages than the iteration starts with, on many themes: the space is the exact one of all passages and items
+    rng, seen = np.random.default_rng(36), []
+    texts = [" ".join(f"w{t % 50 * 30 + x}" for x in rng.integers(0, 30, 120)) for t in range(400)]
+    items = [" ".join(f"w{x}" for x in rng.integers(0, 1500, 400)) for _ in range(8)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    how = decontam.Retrieval(sample=64, rank=40)
+    real = decontam.latent_space
+    monkeypatch.setattr(decontam, "latent_space", lambda *a: seen.append(real(*a)) or seen[-1])
+    list(decontam.searches(docs, bench, "text", "item_id", "text", None, how))
+    vocab = np.unique(np.concatenate([decontam.word_hashes(x) for x in items]))
+    number = {int(h): k for k, h in enumerate(vocab)}
+    numbers = [[number[h] for h in decontam.word_hashes(t).tolist() if h in number] for t in texts]
+    df = np.bincount(np.concatenate([list(set(x)) for x in numbers]), minlength=len(vocab))
+    weights = how.weights(df, len(texts))
+    rows = []
+    for t in texts:
+        h = decontam.word_hashes(t).tolist()
+        rows += [np.bincount([number[x] for x in h[a : a + 16] if x in number], minlength=len(vocab)) * weights for a in range(0, len(h), 16)]
+    corpus, own = np.array(rows), np.array([np.bincount([number[x] for x in decontam.word_hashes(i).tolist()], minlength=len(vocab)) * weights for i in items])
+    corpus, own = (x[np.linalg.norm(x, axis=1) > 0] for x in (corpus, own))
+    corpus, own = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (corpus, own))
+    whole = corpus.T @ corpus * (how.sample / len(corpus)) + 9 * own.T @ own
+    best = np.sort(np.linalg.eigvalsh(whole))[-40:].sum()
+    (space,) = seen
+    assert len(corpus) > 40 * how.sample and np.trace(space.T @ whole @ space) > 0.995 * best
