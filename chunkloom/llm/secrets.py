@@ -5,15 +5,19 @@ label, and examples of a few public token formats are the labelled credentials:
 built, and its states are merged while their statistics are compatible (Hoeffding bounds, red and blue states), which gives
 a probabilistic automaton of the format. Every other long token of the text with more than one class of characters is a
 candidate; it is a secret of the kind whose automaton gives it the greatest likelihood, if that is no less than what the
-automaton gives nearly all its own examples, and well above a bigram model of all candidates. Where the whole token is none,
+automaton gives all but one in 200 of its own examples, and well above a bigram model of all candidates. Where the whole token is none,
 its parts between signs (= / . - + _) are tried, from every sign to every later one, the longest first.
 
 Every candidate is scored, whatever its length: beyond the lengths of an automaton's examples its likelihood of a symbol falls
 by LENGTH_BITS for each factor of 1.5. Parts of a token are tried at lengths from 0.75 of the shortest to 1.5 of the longest
-example.
+example, of which one in 200 at either end don't count.
 
-Learning takes a bounded sample (of each kind examples of at most longest bytes, the first by the hash of their values) found by
-scanning all texts; then every text is scanned whole, in one pass without a shuffle.
+Learning takes every distinct value of any length that a scan of all texts finds. Their prefixes are counted on the executors;
+states are merged on the driver in the tree of the prefixes that the most values have (all prefixes while there are at most
+tree of them; a rarer one is merged unseen with the start, as states too rare to be told apart are). Then all values pass through the automaton on the
+executors: from them come its probabilities, its least likelihood and its lengths, and from all candidates the background. The
+more values there are, the surer a difference of states must be, so that many comparisons don't make up differences. Then every
+text is scanned whole, in one pass without a shuffle.
 
 Defined cases: a null text counts as empty; an empty text has no spans; spans are in code points with the end exclusive, sorted
 by start, then kind (assign, access, hex, inferred ones by name); of automata that accept a string the likeliest counts, of
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import batch_function, first_by_hash, map_rows, narrow
+from .common import Scratch, batch_function, give_back, map_rows, narrow
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -57,6 +61,10 @@ _LEAD[0x80:0xC0] = False
 LEAST = 12
 #: What a length beyond those seen costs, in bits a symbol for a factor of 1.5.
 LENGTH_BITS = 0.35
+#: Prefixes of a kind's values in the driver's tree, at most.
+TREE = 100_000
+#: Beyond so many examples the chance that equal states differ falls as their number grows.
+FEW = 400
 #: Where a credential can begin or end inside a token.
 _CUT = re.compile(rb"[+/_.=-]")
 
@@ -206,25 +214,56 @@ class Automaton:
         return out
 
 
-def infer(examples: list[bytes], alpha: float = 0.01) -> Automaton:
-    """Merge compatible states of the examples' prefix tree (ALERGIA)."""
-    child: list[dict[int, int]] = [{}]
-    passed: list[dict[int, int]] = [defaultdict(int)]
-    ended, count = [0], [0]
-    for s in examples:
-        q = 0
-        count[0] += 1
-        for c in s:
-            passed[q][c] += 1
-            if c not in child[q]:
-                child[q][c] = len(child)
-                child.append({})
-                passed.append(defaultdict(int))
-                ended.append(0)
-                count.append(0)
-            q = child[q][c]
-            count[q] += 1
-        ended[q] += 1
+@dataclass
+class Tree:
+    """Of every prefix the next ones by symbol, how many examples go on with each, end there, and those of which this is known."""
+
+    child: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    passed: list[dict[int, int]] = field(default_factory=lambda: [defaultdict(int)])
+    ended: list[int] = field(default_factory=lambda: [0])
+    count: list[int] = field(default_factory=lambda: [0])
+
+    def add(self, q: int, c: int) -> int:
+        self.child[q][c] = len(self.child)
+        self.child.append({})
+        self.passed.append(defaultdict(int))
+        self.ended.append(0)
+        self.count.append(0)
+        return self.child[q][c]
+
+    @staticmethod
+    def of(examples: list[bytes]) -> Tree:
+        t = Tree()
+        for s in examples:
+            q = 0
+            t.count[0] += 1
+            for c in s:
+                t.passed[q][c] += 1
+                q = t.child[q][c] if c in t.child[q] else t.add(q, c)
+                t.count[q] += 1
+            t.ended[q] += 1
+        return t
+
+    @staticmethod
+    def from_rows(rows: dict[int, list[tuple[int, int, int]]]) -> Tree:
+        """rows: by a prefix' hash the (symbol, how many, hash of the longer prefix), -1 for the end."""
+        t, todo = Tree(), [(0, 0)]
+        while todo:
+            q, h = todo.pop()
+            for c, n, longer in sorted(rows.get(h, ())):
+                t.count[q] += n
+                if c < 0:
+                    t.ended[q] += n
+                else:
+                    t.passed[q][c] += n
+                    todo.append((t.add(q, c), longer))
+        return t
+
+
+def states(tree: Tree, alpha: float = 0.01) -> list[dict[int, int]]:
+    """Merge compatible states of a prefix tree (ALERGIA): of each state the next one by symbol. The tree is used up."""
+    child, passed, ended, count = tree.child, tree.passed, tree.ended, tree.count
+    alpha *= min(1.0, FEW / max(count[0], 1))
     wide = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -235,7 +274,7 @@ def infer(examples: list[bytes], alpha: float = 0.01) -> Automaton:
         while stack:
             x, y = stack.pop()
             n1, n2 = count[x], count[y]
-            if min(n1, n2) < 4 and (x, y) != (a, b):
+            if min(n1, n2) < 4 and ((x, y) != (a, b) or not min(n1, n2)):
                 continue
             if differ(ended[x], n1, ended[y], n2):
                 return False
@@ -278,15 +317,47 @@ def infer(examples: list[bytes], alpha: float = 0.01) -> Automaton:
         known = set(red)
         blue = [(r, x) for r in red for x in child[r] if child[r][x] not in known]
     number = {r: i for i, r in enumerate(red)}
-    nexts, logs = [], []
-    for r in red:
-        total = count[r] + 0.5
-        nexts.append({c: number[t] for c, t in child[r].items()})
-        logs.append({c: math.log2(passed[r][c] / total) for c in child[r]} | ({-1: math.log2(ended[r] / total)} if ended[r] else {}))
-    sizes = [len(s) for s in examples]
-    out = Automaton(nexts, logs, min(sizes), max(sizes))
-    got = sorted(out.score(s) for s in examples)
-    out.least = got[len(got) // 200] - 0.35
+    return [{c: number[t] for c, t in child[r].items()} for r in red]
+
+
+def walked(nexts: list[dict[int, int]], values: list[bytes]) -> np.ndarray:
+    """How often the values leave each state by each symbol, or end there (the last column). Without a way on they go to the start."""
+    out = [[0] * 257 for _ in nexts]
+    for s in values:
+        q = 0
+        for c in s:
+            out[q][c] += 1
+            q = nexts[q].get(c, 0)
+        out[q][256] += 1
+    return np.array(out, np.int64)
+
+
+def fitted(nexts: list[dict[int, int]], walks: np.ndarray) -> Automaton:
+    """The automaton with the probabilities of the walks; bounds are still to come."""
+    logs = []
+    for q, n in zip(nexts, walks, strict=True):
+        total = float(n.sum()) + 0.5
+        ways = np.flatnonzero(n[:256]).tolist()
+        for c in ways:
+            q.setdefault(c, 0)
+        for c in q.keys() - set(ways):
+            del q[c]
+        logs.append({c: math.log2(n[c] / total) for c in q} | ({-1: math.log2(n[256] / total)} if n[256] else {}))
+    return Automaton(nexts, logs, 1, 1)
+
+
+def spared(n: int) -> int:
+    """How many of n examples a bound leaves out."""
+    return n // 200
+
+
+def infer(examples: list[bytes], alpha: float = 0.01) -> Automaton:
+    """The automaton of some examples."""
+    nexts = states(Tree.of(examples), alpha)
+    out, k = fitted(nexts, walked(nexts, examples)), spared(len(examples))
+    sizes = sorted(len(s) for s in examples)
+    out.shortest, out.longest = sizes[k], sizes[-1 - k]
+    out.least = sorted(out.score(s) for s in examples)[k] - 0.35
     return out
 
 
@@ -336,8 +407,8 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", examples: int = 400, longest: int = 400) -> Model:
-    """Automata of the values that the base rules find, and of the public formats. At most so many examples of a kind, none longer than longest."""
+def _values(docs: DataFrame, text_col: str) -> DataFrame:
+    """Distinct values of the base rules' finds by kind, and candidates."""
 
     def make():
         def f(b: pa.RecordBatch):
@@ -355,18 +426,120 @@ def learn(docs: DataFrame, text_col: str = "text", examples: int = 400, longest:
 
         return f
 
-    rows = map_rows(narrow(docs, text=text_col), make, "kind string, value string").where(F.length("value") <= longest).distinct()
-    got = first_by_hash(rows, "kind", "value", examples).toArrow()
-    by = defaultdict(list)
-    for k, v in zip(got["kind"].to_pylist(), got["value"].to_pylist(), strict=True):
-        by[k].append(v.encode())
-    plain = np.full((256, 256), 0.05)
-    for s in by.pop("candidate", []):
-        np.add.at(plain, (np.frombuffer(b"\0" + s[:-1], np.uint8), np.frombuffer(s, np.uint8)), 1)
+    return map_rows(narrow(docs, text=text_col), make, "kind string, value string").distinct()
+
+
+def _background(values: DataFrame) -> np.ndarray:
+    """How often a character follows another, or begins, in all candidates."""
+
+    def run(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for _, _, raw, off in tv.chunks(b.column(0)):
+                before = np.concatenate([[0], raw[:-1]]).astype(np.int64)
+                before[off[:-1][np.diff(off) > 0]] = 0
+                total += np.bincount(before << 8 | raw, minlength=1 << 16)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    got = values.where("kind = 'candidate'").select("value").mapInArrow(run, "part binary").toArrow()["part"].to_pylist()
+    return sum((np.frombuffer(x, np.int64) for x in got), np.zeros(1 << 16, np.int64)).reshape(256, 256)
+
+
+def _prefixes(values: DataFrame) -> DataFrame:
+    """kind, prefix and longer (hashes), symbol that makes it longer, -1 at the end, n values, and total of the prefix."""
+    from pyspark.sql import Window
+
+    def run(batches):
+        for b in batches:
+            for i, _, raw, off in tv.chunks(b.column(1), 1 << 18):
+                row = np.repeat(np.arange(len(off) - 1), np.diff(off) + 1)
+                at = np.arange(len(row)) - row
+                h = tv.span_hashes(raw, off[row], at).view(np.int64)
+                symbol = np.append(raw, 0).astype(np.int16)[at]
+                symbol[at == off[row + 1]] = -1
+                for a in range(0, len(row), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    longer = h[a + 1 : a + 1 + (1 << 16)]
+                    longer = np.where(symbol[part] < 0, 0, np.append(longer, np.zeros(len(row[part]) - len(longer), np.int64)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[part] + i)), pa.array(h[part]), pa.array(symbol[part]), pa.array(longer)], names=["kind", "prefix", "symbol", "longer"])
+
+    rows = values.mapInArrow(run, "kind string, prefix long, symbol short, longer long").groupBy("kind", "prefix", "symbol").agg(F.count(F.lit(1)).alias("n"), F.min("longer").alias("longer"))
+    return rows.withColumn("total", F.sum("n").over(Window.partitionBy("kind", "prefix")))
+
+
+def _trees(prefixes: DataFrame, most: int) -> dict[str, Tree]:
+    """Of each kind the tree of its most frequent prefixes, at most so many rows."""
+    sizes = defaultdict(list)
+    for r in prefixes.groupBy("kind", "total").count().toArrow().to_pylist():
+        sizes[r["kind"]].append((r["total"], r["count"]))
+    out = {}
+    for k, totals in sorted(sizes.items()):
+        totals.sort(reverse=True)
+        held, least = 0, totals[0][0]
+        for total, rows in totals:
+            held += rows
+            if held > most:
+                break
+            least = total
+        rows = defaultdict(list)
+        got = prefixes.where((F.col("kind") == k) & (F.col("total") >= least)).select("prefix", "symbol", "n", "longer").toArrow()
+        for h, c, n, longer in zip(*(got[c].to_pylist() for c in got.column_names), strict=True):
+            rows[h].append((c, n, longer))
+        out[k] = Tree.from_rows(rows)
+    return out
+
+
+def _walks(values: DataFrame, nexts: dict[str, list[dict[int, int]]]) -> dict[str, np.ndarray]:
+    """The walks of all values through the states of their kinds."""
+
+    def run(batches):
+        total = {k: np.zeros((len(x), 257), np.int64) for k, x in nexts.items()}
+        for b in batches:
+            by = defaultdict(list)
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                by[k].append(v.encode())
+            for k, v in by.items():
+                total[k] += walked(nexts[k], v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["kind", "part"])
+        give_back()
+
+    out = {k: np.zeros((len(x), 257), np.int64) for k, x in nexts.items()}
+    got = values.mapInArrow(run, "kind string, part binary").toArrow()
+    for k, x in zip(got["kind"].to_pylist(), got["part"].to_pylist(), strict=True):
+        out[k] += np.frombuffer(x, np.int64).reshape(out[k].shape)
+    return out
+
+
+def learn(docs: DataFrame, text_col: str = "text", tree: int = TREE) -> Model:
+    """Automata of all values that the base rules find, and of the public formats. tree: prefixes of a kind that the driver holds, at most."""
+    scratch = Scratch()
+    values = scratch(_values(docs, text_col), "values")
+    plain = _background(values) + 0.05
     model = Model({}, np.log2(plain / plain.sum(axis=1, keepdims=True)))
-    for k, v in [*sorted((k, sorted(v)) for k, v in by.items()), *((k, [x.encode() for x in v]) for k, v in format_examples().items())]:
-        if len(v) >= 8:
-            model.automata[k] = infer(v)
+    found = values.where("kind <> 'candidate'")
+    nexts = {k: states(t) for k, t in _trees(scratch(_prefixes(found), "prefixes"), tree).items() if t.count[0] >= 8}
+    if nexts:
+        found = found.where(F.col("kind").isin(*nexts))
+        automata = {k: fitted(nexts[k], w) for k, w in _walks(found, nexts).items()}
+
+        def make():
+            return lambda b: {"kind": b.column(0), "size": pa.array([len(v) for v in b.column(1).to_pylist()], pa.int64()), "score": pa.array([automata[k].score(v.encode()) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.float64())}
+
+        scores = scratch(map_rows(found, make, "kind string, size long, score double"), "scores")
+        sizes = defaultdict(list)
+        for r in scores.groupBy("kind", "size").count().toArrow().to_pylist():
+            sizes[r["kind"]].append((r["size"], r["count"]))
+        for k, a in sorted(automata.items()):
+            size, times = np.array(sorted(sizes[k])).T
+            upto = np.cumsum(times)
+            skip = spared(int(upto[-1]))
+            low = scores.where(F.col("kind") == k).orderBy("score").limit(skip + 1).agg(F.max("score")).first()[0]
+            a.least = low - 0.35
+            a.shortest, a.longest = (int(size[np.searchsorted(upto, x, side="right")]) for x in (skip, upto[-1] - 1 - skip))
+            model.automata[k] = a
+    scratch.close()
+    for k, v in format_examples().items():
+        model.automata[k] = infer([x.encode() for x in v])
     return model
 
 

@@ -392,3 +392,28 @@ def test_a_very_long_word_counts_like_a_short_one():
         n.append(m)
     assert trie.one(word) == trie.one(word, block=37) == (n[-1], pytest.approx(score[-1]))
     assert trie.one(tokencount.MARK + b"ab" * 500_000)[0] > 1000
+
+
+def test_secrets_are_learned_from_every_value(spark):
+    # more values of a kind than any sample of 400, long ones too: counts, bounds and background are those of all, with a small tree too
+    rng = np.random.default_rng(44)
+    hexes = sorted({"".join(rng.choice(list("0123456789abcdef"), int(n))) for n in rng.integers(16, 60, 1500)} | {"0123456789abcdef" * 40})
+    hosts = sorted({f"mail{x}.example.com" for x in rng.integers(0, 10**6, 900)} | {"x1" * 300})
+    texts = [f"see {h} and {h}" for h in hexes] + [f"at {h} or" for h in hosts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    plain = np.full((256, 256), 0.05)
+    for s in hosts:
+        np.add.at(plain, ([0, *s[:-1].encode()], list(s.encode())), 1)
+    for tree in (secrets.TREE, 300):
+        model = secrets.learn(docs, tree=tree)
+        a = model.automata["hex"]
+        assert np.allclose(model.background, np.log2(plain / plain.sum(axis=1, keepdims=True)))
+        seen = secrets.walked(a.next, [h.encode() for h in hexes])
+        assert [q.keys() for q in a.next] == [set(np.flatnonzero(n[:256]).tolist()) for n in seen]
+        assert all(p[c] == pytest.approx(np.log2(n[c] / (n.sum() + 0.5))) for p, n in zip(a.logp, seen, strict=True) for c in p)
+        assert a.least == pytest.approx(sorted(a.score(h.encode()) for h in hexes)[len(hexes) // 200] - 0.35)
+        sizes = sorted(map(len, hexes))
+        assert (a.shortest, a.longest) == (sizes[len(sizes) // 200], sizes[-1 - len(sizes) // 200])
+        if tree == secrets.TREE:
+            whole = secrets.infer([h.encode() for h in hexes])
+            assert a.next == whole.next and a.logp == whole.logp and a.least == pytest.approx(whole.least)
