@@ -121,3 +121,15 @@ def test_query_equals_sql(name, spark):
     want = con.sql(queries.ORACLES[name])
     got = queries.QUERIES[name](spark, SF).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_decontamination_fits_its_space_on_all_passages(spark, tmp_path, monkeypatch):
+    rng, seen = np.random.default_rng(8), []
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 320)) for _ in range(300)]
+    item = " ".join(f"w{x}" for x in range(500))
+    docs = spark.createDataFrame(list(enumerate([*texts, f"so {item} on"])), "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    real = decontam.latent_space
+    monkeypatch.setattr(decontam, "latent_space", lambda passages, *a: seen.append(passages.collect()) or real(passages, *a))
+    assert {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()} == set(range(300))
+    assert sum(len(r.sizes) for r in seen[0]) == 300 * 20 + 32
