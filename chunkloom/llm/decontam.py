@@ -13,9 +13,9 @@ and benchmark; the cosine's threshold loses none.
 
 The space is fitted on every passage of the corpus and all items. The pass that counts the words keeps the numbers of the
 benchmark's words in each passage; from these the Gram matrix is summed in whole numbers, so that the order doesn't matter, and
-the iteration goes on until the space holds no more of it. All passages together count as sample rows at most, lest the items have no part
-in the space of a large corpus; sample passages, the first by the hash of their words, say where the iteration starts, not
-where it ends. Every window is then searched. Items have spaces in blocks of bounded size. A pass over the texts counts the words of up to
+the iteration, from random directions on, goes on until the space holds no more of it. All passages together weigh as many rows as
+Retrieval.sample at most, lest the items have no part in the space of a large corpus: a weight, no choice of passages. The mean
+weight of the words beyond the benchmark's is that of all their occurrences. Every window is then searched. Items have spaces in blocks of bounded size. A pass over the texts counts the words of up to
 MANY_BLOCKS blocks, and one searches as many blocks as fit into Retrieval.memory, so that what is sent to the executors and
 held by the driver is bounded whatever the size of the benchmark, and small benchmarks take two passes.
 
@@ -44,8 +44,8 @@ from .common import Scratch, batch_function, give_back, map_rows, narrow
 BLOCK = 16
 #: Windows are so many neighbouring passages, powers of two.
 WINDOWS = (2, 4)
-#: One of so many words beyond the benchmark's is counted, for their mean weight.
-OUTSIDE = 64
+#: Words beyond the benchmark's that a task counts before it passes the counts on, for their mean weight, and rows of a batch of them.
+OUTSIDE, OUTSIDE_ROWS = 1 << 19, 1 << 16
 #: Blocks of items whose words are counted in one pass.
 MANY_BLOCKS = 64
 #: The Gram matrix is summed in multiples of this.
@@ -61,7 +61,7 @@ class Retrieval:
     """rank: latent dimensions at least, a block of more items has one for each; cosine: least cosine of a candidate, for an item
     of which the space holds less than the share held, less in proportion; copied: share of an item's words in order that is a copy;
     paraphrased: share that is one if the answer is there too; answer_share: share of the answer's words that must be; sample: rows as which all
-    passages count at most beside the items, and passages with which the space's iteration starts."""
+    passages together count at most beside the items; none is left out."""
 
     rank: int = 160
     cosine: float = 0.18
@@ -363,14 +363,23 @@ def _number_type(words: int) -> type:
 
 def _statistics(texts: DataFrame, vocab: np.ndarray, how: Retrieval, scratch: Scratch) -> tuple[np.ndarray, int, float, DataFrame, DataFrame]:
     """Document frequency of every vocabulary word over all texts, the number of texts, the mean squared weight of an occurrence
-    of any other word, the passages to start with, and all passages: the numbers of their words, and how many each has, a row
-    for many passages. The mean is that of the words with one hash in OUTSIDE, counted in all texts."""
-    per_task, kind = how.sample, _number_type(len(vocab))
-    schema = "term int, n long, ids binary, word long, times long, passages binary, sizes binary"
+    of any other word, some passages (first_passages), and all passages: the numbers of their words, and how many each has, a row
+    for many passages. The mean is that of all occurrences of all other words."""
+    kind = _number_type(len(vocab))
+    schema = "term int, n long, word long, times long, passages binary, sizes binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def rows(term: np.ndarray, **columns: np.ndarray | list) -> pa.RecordBatch:
+        got = {"term": pa.array(term, pa.int32())} | {k: pa.array(v, pa.int64() if k in ("n", "word", "times") else pa.binary()) for k, v in columns.items()}
+        return pa.RecordBatch.from_arrays([got.get(k, pa.nulls(len(term), pa.int64() if k in ("n", "word", "times") else pa.binary())) for k in names], names=names)
+
+    def beyond(counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(counts[0]), OUTSIDE_ROWS):
+            w, docs, times = (x[a : a + OUTSIDE_ROWS] for x in counts)
+            yield rows(np.full(len(w), -3), n=docs, word=w.view(np.int64), times=times)
+
     def run(batches):
-        df, n, kept, others = np.zeros(len(vocab), np.int64), 0, [], []
+        df, n, others, held = np.zeros(len(vocab), np.int64), 0, [], 0
         for b in batches:
             every, sizes = [], []
             for _, _, raw, off in tv.chunks(b.column(0)):
@@ -382,34 +391,29 @@ def _statistics(texts: DataFrame, vocab: np.ndarray, how: Retrieval, scratch: Sc
                 text_first = first[blocks]
                 key = np.unique(np.repeat(np.arange(len(off) - 1), np.diff(text_first)) * len(vocab) + ids)
                 df += np.bincount(key % len(vocab), minlength=len(vocab))
-                outside = h % np.uint64(OUTSIDE) == 0
+                outside = np.ones(len(h), dtype=bool)
                 outside[place] = False
-                w, word = np.unique(h[outside], return_inverse=True)
-                in_text = np.unique(tv.row_of(wfirst)[outside] * max(1, len(w)) + word)
-                others.append((w, np.bincount(in_text % max(1, len(w)), minlength=len(w)), np.bincount(word, minlength=len(w))))
-                if len(others) > 64:
+                w, word, times = np.unique(h[outside], return_inverse=True, return_counts=True)
+                if len(w):
+                    in_text = np.unique(tv.row_of(wfirst)[outside] * len(w) + word)
+                    others.append((w, np.bincount(in_text % len(w), minlength=len(w)), times))
+                    held += len(w)
+                if held > OUTSIDE:
                     others = [_summed(others)]
-                mark = tv.mix(tv.sums(tv.mix(ids.astype(np.uint64)).view(np.int64) >> 16, first).view(np.uint64))
-                some = np.flatnonzero(long >= 4)
-                some = some[np.argsort(mark[some])[:per_task]]
-                kept += [(int(mark[i] >> np.uint64(1)), ids[first[i] : first[i + 1]].tobytes()) for i in some]
-            kept = sorted(set(kept))[:per_task]
-            none = [None] * len(every)
-            yield pa.RecordBatch.from_arrays([pa.array([-4] * len(every), pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(every, pa.binary()), pa.array(sizes, pa.binary())], names=names)
+                    held = len(others[0][0])
+                    if held > OUTSIDE // 2:
+                        yield from beyond(others[0])
+                        others, held = [], 0
+            yield rows(np.full(len(every), -4), passages=every, sizes=sizes)
         at = np.flatnonzero(df)
-        k, m = len(at), len(kept)
-        w, docs, times = _summed(others)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*at.tolist(), *[-1] * m, -2, *[-3] * len(w)], pa.int32()), pa.array([*df[at].tolist(), *[x for x, _ in kept], n, *docs.tolist()], pa.int64()), pa.array([None] * k + [x for _, x in kept] + [None] * (1 + len(w)), pa.binary()),
-                pa.array([None] * (k + m + 1) + w.view(np.int64).tolist(), pa.int64()), pa.array([None] * (k + m + 1) + times.tolist(), pa.int64()),
-                *[pa.nulls(k + m + 1 + len(w), pa.binary())] * 2,
-            ], names=names,
-        )
+        yield rows(np.append(at, -2), n=np.append(df[at], n))
+        yield from beyond(_summed(others))
+        del others
+        give_back()
 
     got = scratch(texts.select("text").mapInArrow(run, schema), "statistics")
     df, n = np.zeros(len(vocab), np.int64), 0
-    for r in got.where("term not in (-1, -3, -4)").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+    for r in got.where("term not in (-3, -4)").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pylist():
         if r["term"] < 0:
             n = r["n"]
         else:
@@ -417,17 +421,36 @@ def _statistics(texts: DataFrame, vocab: np.ndarray, how: Retrieval, scratch: Sc
     words = got.where("term = -3").groupBy("word").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
     weight = F.pow(F.greatest(F.lit(0.0), F.log((F.lit(n + 0.5) - F.col("n")) / (F.col("n") + 0.5))), F.lit(2 * how.power))
     outside = words.agg(F.sum(F.col("times") * weight) / F.sum("times")).first()[0]
-    start = got.where("term = -1").select("n", "ids").distinct().orderBy("n", "ids").limit(how.sample)
-    return df, n, float(how.weights(np.zeros(1), n)[0]) ** 2 if outside is None else outside, start, got.where("term = -4").select("passages", "sizes")
+    passages = got.where("term = -4").select("passages", "sizes")
+    return df, n, float(how.weights(np.zeros(1), n)[0]) ** 2 if outside is None else outside, first_passages(passages, kind, how.sample), passages
+
+
+def first_passages(passages: DataFrame, kind: type, most: int) -> DataFrame:
+    """The first passages of 4 words or more by the hash of their words, to look at: no model or threshold comes from them, and nothing is read until they are."""
+
+    def run(batches):
+        for b in batches:
+            kept: list[tuple[int, bytes]] = []
+            for ids, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, long = np.frombuffer(ids, kind), np.frombuffer(sizes, np.uint8).astype(np.int64)
+                first = np.concatenate([[0], np.cumsum(long)])
+                mark = tv.mix(tv.sums(tv.mix(ids.astype(np.uint64)).view(np.int64) >> 16, first).view(np.uint64))
+                some = np.flatnonzero(long >= 4)
+                some = some[np.argsort(mark[some])[:most]]
+                kept += [(int(mark[i] >> np.uint64(1)), ids[first[i] : first[i + 1]].astype(np.int32).tobytes()) for i in some]
+            kept = sorted(set(kept))[:most]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.binary())], names=["n", "ids"])
+
+    return passages.mapInArrow(run, "n long, ids binary").distinct().orderBy("n", "ids").limit(most)
 
 
-def latent_space(passages: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, item_weight: float, local: np.ndarray, start: list[np.ndarray], most: int, scratch: Scratch) -> np.ndarray:
+def latent_space(passages: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, item_weight: float, local: np.ndarray, most: int, scratch: Scratch) -> np.ndarray:
     """Right singular vectors (words by rank) of the matrix whose rows are the unit TF-IDF vectors of all passages and items.
 
-    local: numbers of the passages' words here, -1 for words that don't count; start: some passages, for the first step; most: rows
-    as which all passages count at most.
+    local: numbers of the passages' words here, -1 for words that don't count; most: rows as which all passages count at most.
 
-    By subspace iteration: products of the Gram matrix with a thin matrix, a band of rows at a time on the executors.
+    By subspace iteration: products of the Gram matrix with a thin matrix, a band of rows at a time on the executors. It starts
+    with random directions, so that none of the matrix is missing from the first step, and every step takes all passages and items.
     """
     spark, size = passages.sparkSession, len(idf)
     wide = min(rank + 12, size)
@@ -462,12 +485,7 @@ def latent_space(passages: DataFrame, items: list[np.ndarray], idf: np.ndarray,
             passages += t  # each has length 1
         return got * min(1.0, most / max(passages, 1.0)) + _product(q, flat, first, item_weights)
 
-    q = np.random.default_rng(41).standard_normal((size, wide)).astype(np.float32)
-    begin = _product(q, flat, first, item_weights)
-    if start:
-        _, ids, f = _inside(np.concatenate(start), np.concatenate([[0], np.cumsum([len(x) for x in start])]), local)
-        begin += _product(q, ids, f, _unit_weights(ids, f, idf))
-    q, held = np.linalg.qr(begin)[0].astype(np.float32), 0.0
+    q, held = np.linalg.qr(np.random.default_rng(41).standard_normal((size, wide)))[0].astype(np.float32), 0.0
     while True:
         got = product(q)
         inner = q.T @ got
@@ -616,8 +634,7 @@ def searches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
             continue
         scratch = Scratch()
         vocab = np.unique(np.concatenate([x.words for items in by.values() for x in items]))
-        df, total, outside, some, passages = _statistics(texts, vocab, how, scratch)
-        start = [np.frombuffer(x, np.int32) for x in some.toArrow()["ids"].to_pylist()]
+        df, total, outside, _, passages = _statistics(texts, vocab, how, scratch)
         weights = how.weights(df, total)
         search = Search([], vocab, weights.astype(np.float64) ** 2, outside, how)
         for items in by.values():
@@ -626,7 +643,7 @@ def searches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
             local = np.full(len(vocab), -1, np.int32)
             local[at] = np.arange(len(own))
             ids, idf = [np.searchsorted(own, x.words).astype(np.int32) for x in items], weights[at]
-            space = latent_space(passages, ids, idf, how.dimensions(len(items), len(own)), how.item_weight, local, start, how.sample, scratch)
+            space = latent_space(passages, ids, idf, how.dimensions(len(items), len(own)), how.item_weight, local, how.sample, scratch)
             table, held = projected(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])]), idf, space)
             block = Block(items, local, table, (how.cosine * np.minimum(1.0, held / how.held)).astype(np.float32), Bound(items, own, df[at], how))
             if search.blocks and sum(x.bytes() for x in search.blocks) + block.bytes() > how.memory:

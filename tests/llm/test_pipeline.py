@@ -133,3 +133,23 @@ def test_decontamination_fits_its_space_on_all_passages(spark, tmp_path, monkeyp
     monkeypatch.setattr(decontam, "latent_space", lambda passages, *a: seen.append(passages.collect()) or real(passages, *a))
     assert {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()} == set(range(300))
     assert sum(len(r.sizes) for r in seen[0]) == 300 * 20 + 32
+
+
+def test_decontamination_takes_nothing_from_a_sample(spark, tmp_path, monkeypatch):
+    # the mean weight of other words is that of all of them, and the space is the same whichever passages are looked at first
+    rng, means, spaces = np.random.default_rng(9), [], []
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 160)) + " " + " ".join(f"o{int(x)}" for x in rng.zipf(1.3, 80) % 3000) for _ in range(200)]
+    items = [" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    statistics, space, keep = decontam._statistics, decontam.latent_space, 1
+    monkeypatch.setattr(decontam, "_statistics", lambda *a: (got := statistics(*a), means.append(got[2]))[0][:3] + (got[3].limit(4096 * keep), got[4]))
+    monkeypatch.setattr(decontam, "latent_space", lambda *a: spaces.append(space(*a)) or spaces[-1])
+    for keep in (1, 0):
+        assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == 200
+    own = {w for i in items for w in i.split()}
+    others = [[w for w in t.split() if w not in own] for t in texts]
+    words, df = np.unique([w for t in others for w in set(t)], return_counts=True)
+    squares = dict(zip(words.tolist(), (np.maximum(0, np.log((200 - df + 0.5) / (df + 0.5))) ** 3).tolist(), strict=True))
+    assert means == pytest.approx([np.mean([squares[w] for t in others for w in t])] * 2, rel=1e-9)
+    assert np.array_equal(*spaces)
