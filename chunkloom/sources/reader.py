@@ -60,7 +60,7 @@ def zip_kind(content: Column) -> Column:
 
     @F.arrow_udf("string")
     def kind(batch: pa.Array) -> pa.Array:
-        return pa.array([None if c is None else office.zip_format(c) for c in batch.to_pylist()], pa.string())
+        return pa.array((None if c is None else office.zip_format(c) for c in (x.as_py() for x in batch)), pa.string())
 
     return kind(content)
 
@@ -159,5 +159,6 @@ def parse_documents(docs: DataFrame, document_order: bool = False, models: str |
                         codes.append(e.code)
                         messages.append(e.message)
                 yield pa.RecordBatch.from_arrays([*(col[n].slice(k, 64) for n in keep), block_array(blocks), pa.array(codes, pa.string()), pa.array(messages, pa.string())], names=[*keep, "blocks", "error_code", "error_message"])
+            del b, col
 
     return docs.mapInArrow(run, schema)

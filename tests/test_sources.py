@@ -265,3 +265,20 @@ def test_old_spreadsheets():
     for bad in (one_stream("Other", book), one_stream("Workbook", b"\x09\x08\x04\x00\x00\x05\x05\x00"), one_stream("Workbook", begin + record(0x2F, b"\0\0"))):
         with pytest.raises(DocError):
             office.parse_sheets(bad)
+
+
+def test_files_are_made_a_few_at_a_time(spark, monkeypatch):
+    """Of an Arrow batch of 1000 documents only a few are Python strings while one of them is written."""
+    from pyspark.sql import functions as F
+
+    from chunkloom.sources.writers import WRITERS, written
+
+    def alive(lines):
+        import gc
+
+        return str(sum(type(x) is list and len(x) == 2 and x[0] == "line of a document" for x in gc.get_objects()) if lines[1] == "500" else 0).encode()
+
+    monkeypatch.setitem(WRITERS, "alive", (alive, "text", "txt"))
+    docs = spark.range(0, 1000, 1, 1).select(F.array(F.lit("line of a document"), F.col("id").cast("string")).alias("lines"))
+    got = [int(r.content) for r in docs.select(written(F.col("lines"), "alive").alias("content")).collect()]
+    assert len(got) == 1000 and 0 < max(got) < 100
